@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wirelake.llm.license_scan import LEAST, SHINGLE, TEMPLATES, stride, template_words, window_class
+from wirelake.llm.secret_scan import RULES as SECRETS
 from wirelake.llm.url_filter import RULES
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
@@ -40,4 +42,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM docs LEFT JOIN hit h USING (r) LEFT JOIN items t USING (r)
 """
 
-ORACLE = {"op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_KINDS = "\n  UNION ALL ".join(
+    f"SELECT r, {k} AS rank, {_quoted(s.kind)} AS kind, {str(s.base).lower()} AS base, regexp_extract_all(t, {_quoted(s.pattern)}) AS m, string_split_regex(t, {_quoted(s.pattern)}) AS g,"
+    f" list_transform(regexp_extract_all(t, {_quoted(s.pattern)}, {s.group}), lambda x: length(x) >= {s.least}) AS ok FROM docs"
+    for k, s in enumerate(SECRETS)
+)
+_COUNTS = ", ".join(f"count(*) FILTER (kind = '{s.kind}') AS n_{s.kind}" for s in SECRETS if s.base)
+_LONGS = ", ".join(f"coalesce(n_{s.kind}, 0)::BIGINT AS n_{s.kind}" for s in SECRETS if s.base)
+
+SPANS = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({_KINDS}),
+each_match AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw),
+placed AS (
+  SELECT r, rank, kind, base, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, length(m[i]) AS n
+  FROM each_match WHERE ok[i]),
+spans AS (SELECT *, kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT AS s FROM placed),
+agg AS (SELECT r, {_COUNTS}, string_agg(s, ',' ORDER BY b, rank) AS spans, string_agg(s, ',' ORDER BY b, rank) FILTER (base) AS own FROM spans GROUP BY r)
+SELECT doc_id, {_LONGS}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN agg USING (r)
+"""
+
+def _template(name: str, text: str) -> str:
+    w = template_words(text)
+    run = min(SHINGLE, len(w))
+    size = window_class(len(w))
+    grams = sorted({" ".join(w[i : i + run]) for i in range(len(w) - run + 1)})
+    return "\n  UNION ALL ".join(f"SELECT '{name}' AS license, {run} AS run, {size - run + 1} AS span, {stride(size)} AS step, {len(grams)} AS n, '{g}' AS gram" for g in grams)
+
+
+_TEMPLATES = "\n  UNION ALL ".join(_template(k, v) for k, v in TEMPLATES.items())
+
+#: Without MinHash: every window is held against every template with which it shares a shingle.
+LICENSES = f"""
+WITH grams AS ({_TEMPLATES}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+'), []) AS w FROM documents),
+runs AS (SELECT DISTINCT run FROM grams),
+places AS (SELECT r, run, i, array_to_string(w[i:i + run - 1], ' ') AS gram FROM (SELECT r, w, run, unnest(range(1, greatest(len(w) - run + 1, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM docs, runs)),
+hits AS (SELECT r, i, license, span, step, n, gram FROM places JOIN grams USING (run, gram)),
+windows AS (SELECT DISTINCT r, license, span, step, n, k FROM (SELECT *, unnest(range((greatest(i - span - 2 * step, 0) // step), (i + step) // step + 1)) AS k FROM hits)),
+scores AS (
+  SELECT h.r, h.license, k, count(DISTINCT gram) / max(h.n) AS score FROM windows v JOIN hits h USING (r, license)
+  WHERE h.i >= greatest(1 + k * h.step - h.step, 1) AND h.i < 1 + k * h.step + h.span + h.step GROUP BY ALL),
+best AS (SELECT r, license, max(score) AS score FROM scores WHERE score >= {LEAST} GROUP BY ALL),
+agg AS (SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, max(score) AS score FROM best GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(score, 0.0)::DOUBLE AS score FROM docs LEFT JOIN agg USING (r)
+"""
+
+ORACLE = {"op10_license_scan": LICENSES, "op3_secret_scan": SPANS, "op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
