@@ -94,4 +94,16 @@ agg AS (SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS na
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(score, 0.0)::DOUBLE AS score FROM docs LEFT JOIN agg USING (r)
 """
 
-ORACLE = {"op10_license_scan": LICENSES, "op3_secret_scan": SPANS, "op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
+NEAR = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM sets a JOIN sets b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM common JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, e.v FROM reach JOIN edges e ON reach.r = e.u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+ORACLE = {"op7_near_dedup": NEAR, "op10_license_scan": LICENSES, "op3_secret_scan": SPANS, "op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
