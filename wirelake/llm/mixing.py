@@ -68,16 +68,16 @@ def weigh(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     return ranged.join(F.broadcast(offsets.drop("_n")), "_part").withColumn("_weight", weight).drop("_part", "_before")
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken and repeats for each row of ``docs``.
-
-    ``repeats`` is how often the mix takes the document, ``taken`` the words that makes.
-    """
+def marked(docs: DataFrame, seed: int) -> DataFrame:
+    """_row (all columns), and what the mix needs: _skey, _size, _place in a seeded order, _bucket of it."""
     key = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2"))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size"))
-    rows = docs.select("doc_id", "source", key.alias("_skey"), words(F.col("text")).alias("_size")).withColumn("_place", place)
-    rows = written(rows.withColumn("_bucket", F.pmod("_place", F.lit(BUCKETS)).cast("int")), "mix-rows")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_skey"), words(F.col("text")).alias("_size"))
+    rows = rows.withColumn("_place", F.xxhash64(F.lit(seed), F.col("_row.doc_id"), F.col("_size")))
+    return rows.withColumn("_bucket", F.pmod("_place", F.lit(BUCKETS)).cast("int"))
+
 
+def plan_of(rows: DataFrame, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
+    """For each source: its size, target, whole repetitions, and where the fractional one ends."""
     histogram = written(rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_part_size")), "mix-histogram")
     sizes = histogram.groupBy("_skey").agg(F.sum("_part_size").alias("_size"))
     filled = water_fill(written(weigh(sizes, cycle), "mix-weights"), max_epochs)
@@ -93,15 +93,40 @@ def mix(docs: DataFrame, max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3)
         .groupBy("_skey")
         .agg(F.min("_bucket").alias("_end"), F.min_by(F.col("_upto") - F.col("_part_size"), "_bucket").alias("_below"))
     )
-    plan = written(filled.join(ends, "_skey", "left").select("_skey", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "_whole", "_rest", F.coalesce("_end", F.lit(BUCKETS)).alias("_end"), F.coalesce("_below", F.lit(0)).alias("_below")), "mix-plan")
+    plan = filled.join(ends, "_skey", "left")
+    return written(plan.select("_skey", F.col("_size").alias("source_size"), F.col("_target").alias("target"), "_whole", "_rest", F.coalesce("_end", F.lit(BUCKETS)).alias("_end"), F.coalesce("_below", F.lit(0)).alias("_below")), "mix-plan")
+
+
+def carried_out(rows: DataFrame, plan: DataFrame, max_epochs: int) -> DataFrame:
+    """``rows`` with source_size, target, and the repetitions of each document."""
     small = plan.count() <= BROADCAST_SOURCES
     joined = rows.join(F.broadcast(plan) if small else plan, "_skey")
-
     # Of a boundary bucket, documents go in by hash while the middle of each still lies below the end.
     edge = joined.where((F.col("_bucket") == F.col("_end")) & (F.col("_size") > 0))
-    order = W.partitionBy("_skey").orderBy("_place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("_skey").orderBy("_place", "_row.doc_id").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("_upto", F.col("_below") + F.sum("_size").over(order)).withColumn("_extra", (F.col("_upto") - F.col("_size") / 2 <= F.col("_rest")).cast("int"))
     inner = joined.where((F.col("_bucket") != F.col("_end")) | (F.col("_size") == 0)).withColumn("_extra", (F.col("_bucket") < F.col("_end")).cast("int"))
-    both = inner.unionByName(edge.drop("_upto"))
     repeats = F.when(F.col("_size") > 0, F.least(F.col("_whole") + F.col("_extra"), F.lit(max_epochs))).otherwise(F.lit(0)).cast("long")
-    return both.select("doc_id", F.col("_size").alias("size"), "source", "source_size", F.col("target").cast("double").alias("target"), (repeats * F.col("_size")).alias("taken"), repeats.alias("repeats"))
+    return inner.unionByName(edge.drop("_upto")).withColumn("_repeats", repeats)
+
+
+def mix(docs: DataFrame, max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
+    """doc_id, size, source_size, target, taken and repeats for each row of ``docs``.
+
+    ``repeats`` is how often the mix takes the document, ``taken`` the words that makes.
+    """
+    rows = written(marked(docs.select("doc_id", "source", "text"), seed).withColumn("_row", F.struct("_row.doc_id")), "mix-rows")
+    out = carried_out(rows, plan_of(rows, max_epochs, cycle), max_epochs)
+    return out.select("_row.doc_id", F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), (F.col("_repeats") * F.col("_size")).alias("taken"), F.col("_repeats").alias("repeats"))
+
+
+def take(docs: DataFrame, max_epochs: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
+    """The documents of the mix, with all their columns and size, source_size, target, taken and repeats.
+
+    Columns of the same names are replaced. Documents that the mix doesn't take are not among them.
+    """
+    rows = marked(docs, seed)
+    plan = plan_of(written(rows.select("_skey", "_bucket", "_size"), "mix-rows"), max_epochs, cycle)
+    own = ["size", "source_size", "target", "taken", "repeats"]
+    out = carried_out(rows, plan, max_epochs).where("_repeats > 0")
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in own], F.col("_size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), (F.col("_repeats") * F.col("_size")).alias("taken"), F.col("_repeats").alias("repeats"))

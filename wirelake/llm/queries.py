@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelake.llm import decontam, html_extract, lang_id, license_scan, mixing, near_dedup, quality, secret_scan, url_filter
+from wirelake.llm import decontam, html_extract, lang_id, license_scan, mixing, near_dedup, quality, secret_scan, topk, url_filter
 from wirelake.llm.common import read_table
 from wirelake.llm.sql import ORACLE
 
@@ -27,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -106,4 +106,13 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, doc
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
 
-ORACLE = {"op7_near_dedup": NEAR, "op10_license_scan": LICENSES, "op3_secret_scan": SPANS, "op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
+TOP = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE = {"op5_topk": TOP, "op7_near_dedup": NEAR, "op10_license_scan": LICENSES, "op3_secret_scan": SPANS, "op8_url_filter": URLS, "op9_decontamination": CONTAMINATION}
