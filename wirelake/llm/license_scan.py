@@ -1,14 +1,14 @@
 """License scans by MinHash bands over overlapping windows (DataFrame functions only).
 
 Texts become words, words become hashed shingles of five. For each size class of the templates a document is
-covered by overlapping windows of that size, an eighth of it apart. A window's MinHash values, one a band, meet the
+covered by overlapping windows of that size, an eighth of it apart, wherever it has an anchor (see below). A window's MinHash values, one a band, meet the
 templates' in an equi-join; with ``BANDS`` bands of one row a window whose shingles have Jaccard similarity s with a
 template's is retrieved with probability 1 - (1 - s) ** BANDS (at s = 0.4, the least that a match of 0.8 can have in
 the best placed window of its class, 0.9997). A retrieved template is verified by exact containment: the share of
 its shingles that stand in the window or an eighth beyond either end.
 
-Before windows are made, a document must hold an anchor: words are chosen so that a text without any of them lacks
-too many shingles of every template, and skipping it loses nothing.
+Windows are made only where they, or a stride beyond them, hold an anchor: words are chosen so that what is without any
+of them lacks too many shingles of every template to match it, and skipping it loses nothing.
 
 Edge cases: null and empty texts, and texts of fewer words than a shingle has, match only templates as short
 (whole word sequences count as one shingle); a template found in many windows counts once, with its best score; very
@@ -120,13 +120,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
     low = docs.select(F.col("doc_id").alias("_id"), mark.alias("_mark"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("_low"), body.alias("_body"))
     held = F.lit(False)
-    for word in anchors(templates, least):
+    known = anchors(templates, least)
+    for word in known:
         held = held | F.contains("_low", F.lit(word))
     kinds = sorted({(window_class(len(w)), len(w) if len(w) < SHINGLE else SHINGLE) for w in map(template_words, templates.values())})
     texts = low.where(held).select("_id", "_mark", F.regexp_extract_all("_body", F.lit(f"({WORD})"), 1).alias("_words"))
     runs = sorted({r for _, r in kinds})
+    places = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike("|".join(known)), i + 1)), lambda i: i.isNotNull())
+    texts = texts.withColumn("_held", places)
     texts = texts.withColumns({f"_h{r}": shingles(F.col("_words"), r) for r in runs})
-    windows = F.flatten(F.array(*[_windows(F.col(f"_h{r}"), size, r) for size, r in kinds]))
+    windows = F.flatten(F.array(*[_windows(F.col(f"_h{r}"), F.col("_held"), size, r) for size, r in kinds]))
     cut = texts.select("_id", "_mark", F.explode(windows).alias("_w")).select("_id", "_mark", F.col("_w.*"))
     near = cut.withColumn("_b", F.explode(minhashes(F.col("_core"))))
     found = (
@@ -141,13 +144,18 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     return out.select("doc_id", F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _windows(hashes: Column, size: int, run: int) -> Column:
-    """Windows of a class: their own shingles, and those up to a stride beyond either end."""
+def _windows(hashes: Column, held: Column, size: int, run: int) -> Column:
+    """Windows of a class around the anchors at the words ``held``: their own shingles, and those up to a stride beyond."""
     step, count = stride(size), size - run + 1
-    starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def around(p: Column) -> Column:
+        first, last = F.floor((p - (size + step + 1)) / step), F.floor((p + step) / step)
+        return F.sequence(F.greatest(first, F.lit(0)).cast("int"), last.cast("int"))
+
+    starts = F.transform(F.array_distinct(F.flatten(F.transform(held, around))), lambda k: k * step + 1)
 
     def one(i: Column) -> Column:
         lo = F.greatest(i - step, F.lit(1))
         return F.struct(F.lit(size).alias("_class"), F.lit(run).alias("_run"), F.slice(hashes, i, count).alias("_core"), F.slice(hashes, lo, i - lo + count + step).alias("_wide"))
 
-    return F.transform(starts, one)
+    return F.transform(F.filter(starts, lambda i: i <= F.size(hashes)), one)
