@@ -77,7 +77,7 @@ def ms_of_ns(ns: Column) -> Column:
     """Milliseconds, rounded down also before 1970, of decimal nanoseconds; null where 64 bits do not hold them."""
     ns, n = ns.cast("decimal(38,0)"), F.lit(1_000_000).cast("decimal(38,0)")
     floored = F.call_function("div", ns - F.pmod(ns, n), n)
-    limit = F.lit(9_223_372_036_854_775_807 * 1_000_000).cast("decimal(38,0)")
+    limit = F.lit(str(9_223_372_036_854_775_807 * 1_000_000)).cast("decimal(38,0)")
     return F.when((ns >= -limit) & (ns <= limit), floored)
 
 

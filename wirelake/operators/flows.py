@@ -280,8 +280,8 @@ def totals(rows: DataFrame, by: list[str], time: str = "us") -> DataFrame:
     )
 
 
-def inherit(events: DataFrame, instances: DataFrame) -> DataFrame:
+def inherit(events: DataFrame, instances: DataFrame, name: str = "first_sequence") -> DataFrame:
     """Events (source, refs array of packet sequences) with the one instance that all their packets agree on, or null."""
-    refs = events.select("event_id", "source", F.explode("refs").alias("sequence")).join(instances, ["source", "sequence"], "left")
-    agreed = refs.groupBy("event_id").agg(F.when((F.count_distinct("first_sequence") == 1) & (F.count("first_sequence") == F.count("*")), F.min("first_sequence")).alias("first_sequence"))
+    refs = events.select("event_id", "source", F.explode("refs").alias("sequence")).join(instances.select("source", "sequence", name), ["source", "sequence"], "left")
+    agreed = refs.groupBy("event_id").agg(F.when((F.count_distinct(name) == 1) & (F.count(name) == F.count("*")), F.min(name)).alias(name))
     return events.join(agreed, "event_id", "left")
