@@ -16,7 +16,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from wirelake import schema
@@ -153,6 +153,14 @@ class _File(InputPartition):
         self.path = path
 
 
+def _rows_of(path: str) -> Iterator[tuple]:
+    with open(path, "rb") as f:
+        data = f.read()
+    source = source_of(data)
+    for r in records(data):
+        yield _row(r, source)
+
+
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = _files(options["path"])
@@ -161,36 +169,29 @@ class PcapReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        source = source_of(data)
-        for r in records(data):
-            yield _row(r, source)
+        return _rows_of(partition.path)
 
 
-class PcapStreamReader(SimpleDataSourceStreamReader):
-    """Files that appear in a directory, in the order of their names; the offset is the last name."""
+class PcapStreamReader(DataSourceStreamReader):
+    """Files that appear in a directory, in the order of their names; the offset is the last name, a file is a partition."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.most = options["path"], int(options.get("maxFilesPerTrigger", 16))
+        self.path = options["path"]
+
+    def _names(self) -> list[str]:
+        return [f for f in _files(self.path) if os.path.isfile(f)]
 
     def initialOffset(self) -> dict:
         return {"after": ""}
 
-    def _rows(self, names: list[str]) -> Iterator[tuple]:
-        for name in names:
-            with open(name, "rb") as f:
-                data = f.read()
-            source = source_of(data)
-            for r in records(data):
-                yield _row(r, source)
+    def latestOffset(self) -> dict:
+        return {"after": max(self._names(), default="")}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [f for f in _files(self.path) if os.path.isfile(f) and f > start["after"]][: self.most]
-        return self._rows(new), {"after": new[-1] if new else start["after"]}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(f) for f in self._names() if start["after"] < f <= end["after"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows([f for f in _files(self.path) if start["after"] < f <= end["after"]])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _rows_of(partition.path)
 
 
 class PcapSource(DataSource):
@@ -206,7 +207,7 @@ class PcapSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PcapReader(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return PcapStreamReader(self.options)
 
 
