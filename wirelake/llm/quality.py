@@ -34,7 +34,7 @@ from wirelake.llm.common import fold
 
 GRAMS = (3, 4)
 #: Words remembered by a worker; the longest remembered; characters of a word from which n-grams are taken at a time.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 400_000, 48
 #: Share of the pseudo-words in a document's average.
 SHAPE = 0.3
 
@@ -48,10 +48,22 @@ class Model:
 
     def __post_init__(self) -> None:
         self.memo: dict[str, tuple[float, int]] = {}
+        self.known: dict[str, float] = {}
+        self.list: list[float] = self.weight.tolist()
 
     def word(self, word: str) -> tuple[float, int]:
-        ids = features(word, len(self.weight))
-        value = float(self.weight[ids].sum()), len(ids)
+        known, own, size = self.known, self.list, len(self.list)
+        if len(known) >= MEMO:
+            known.clear()
+        total, names = 0.0, feature_names(word)
+        for name in names:
+            value = known.get(name)
+            if value is None:
+                value = own[zlib.crc32(name.encode()) % size]
+                if len(name) <= MEMO_CHARS:
+                    known[name] = value
+            total += value
+        value = total, len(names)
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -73,15 +85,19 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def features(word: str, buckets: int) -> list[int]:
-    """Bucket of the word and of each of its character n-grams, ends marked."""
+def feature_names(word: str) -> list[str]:
+    """The word and each of its character n-grams, ends marked."""
     marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode()) % buckets]
+    out = [f"{marked}>"]  # unlike every n-gram
     for n in GRAMS:
-        out += [zlib.crc32(f"{n}{marked[i : i + n]}".encode()) % buckets for i in range(len(marked) - n + 1)]
+        out += [marked[i : i + n] for i in range(len(marked) - n + 1)]
     return out
 
 
+def features(word: str, buckets: int) -> list[int]:
+    return [zlib.crc32(x.encode()) % buckets for x in feature_names(word)]
+
+
 def shape_features(words: list[str], distinct: int, buckets: int) -> list[int]:
     """Buckets of the document's pseudo-words."""
     n = len(words)
