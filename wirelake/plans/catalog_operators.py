@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import net
 from wirelake.operators import correlate, enrich, flows, retention, stats
-from wirelake.plans import pipeline, policy
+from wirelake.plans import pipeline, policy, wire
 from wirelake.plans.observations import OBSERVATIONS_SQL, PACKETS_SQL, epoch_us, observations, packets, table
 
 FIRST_MS = 1_704_067_200_000  # 1 January 2024
@@ -313,6 +313,7 @@ QUERIES = {
     for f in (
         flow_sessionize_idle, flow_totals, flow_sessionize_active, intel_exact, intel_cidr, intel_rule, corr_interval, corr_dns_tls, notice_dedup, change_notice,
         policy_effects, policy_metric_totals, json_virtual, retention_classes, union_hot_tail, netflow_seq_gap, trace_flow, url_normal, flow_end_scope,
+        wire.packet_decode, wire.dns_parse, wire.tcp_reassembly, wire.netflow_decode, wire.plugin_udtf,
     )
 }
 
@@ -343,4 +344,9 @@ ORACLE = {
     "trace_flow": _TRACE_SQL,
     "url_normal": _URL_SQL,
     "flow_end_scope": _SCOPE_SQL,
+    "packet_decode": wire.PACKET_DECODE,
+    "dns_parse": wire.DNS_PARSE,
+    "tcp_reassembly": wire.TCP_REASSEMBLY,
+    "netflow_decode": wire.NETFLOW_DECODE,
+    "plugin_udtf": f"WITH {OBSERVATIONS_SQL} {wire.PLUGIN}",
 }
