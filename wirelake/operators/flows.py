@@ -285,3 +285,9 @@ def inherit(events: DataFrame, instances: DataFrame, name: str = "first_sequence
     refs = events.select("event_id", "source", F.explode("refs").alias("sequence")).join(instances.select("source", "sequence", name), ["source", "sequence"], "left")
     agreed = refs.groupBy("event_id").agg(F.when((F.count_distinct(name) == 1) & (F.count(name) == F.count("*")), F.min(name)).alias(name))
     return events.join(agreed, "event_id", "left")
+
+
+def by_affinity(packets: DataFrame, partitions: int) -> DataFrame:
+    """Packets so dealt that all of a pair of hosts, fragments too, come to one partition."""
+    low, high = F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip")
+    return packets.repartition(partitions, low, high, "section", "interface", F.array_join(F.transform("vlans", lambda v: v.cast("string")), ","))
