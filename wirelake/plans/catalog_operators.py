@@ -47,7 +47,7 @@ _SIDES_SQL = """count(*) FILTER (fwd) AS packets_ab, count(*) FILTER (NOT fwd) A
   coalesce(bit_or(coalesce(tcp_flags, 0)) FILTER (fwd), 0) AS flags_ab, coalesce(bit_or(coalesce(tcp_flags, 0)) FILTER (NOT fwd), 0) AS flags_ba"""
 _IDLE_SQL = f"""WITH {PACKETS_SQL}, {_KEYED_SQL},
 cut AS (SELECT *, coalesce(us - max(us) OVER (PARTITION BY a_ip, a_port, b_ip, b_port, proto ORDER BY us, sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 2592000000000, true)::INT AS new FROM keyed),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY a_ip, a_port, b_ip, b_port, proto ORDER BY us, sequence ROWS UNBOUNDED PRECEDING) AS session FROM cut)
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY a_ip, a_port, b_ip, b_port, proto ORDER BY us, sequence ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM cut)
 SELECT a_ip, a_port, b_ip, b_port, proto, session, min(us) AS start_us, max(us) AS end_us, {_SIDES_SQL}
 FROM numbered GROUP BY a_ip, a_port, b_ip, b_port, proto, session"""
 

@@ -97,7 +97,7 @@ PACKETS_SQL = """
 packets AS (
   SELECT l_orderkey * 10 + l_linenumber AS sequence,
     CASE WHEN l_linenumber % 2 = 0 THEN server ELSE client END AS src_ip, CASE WHEN l_linenumber % 2 = 0 THEN client ELSE server END AS dst_ip,
-    CASE WHEN l_linenumber % 2 = 0 THEN dport ELSE 20000 + l_orderkey % 10000 END AS src_port, CASE WHEN l_linenumber % 2 = 0 THEN 20000 + l_orderkey % 10000 ELSE dport END AS dst_port,
+    (CASE WHEN l_linenumber % 2 = 0 THEN dport ELSE 20000 + l_orderkey % 10000 END)::INT AS src_port, (CASE WHEN l_linenumber % 2 = 0 THEN 20000 + l_orderkey % 10000 ELSE dport END)::INT AS dst_port,
     CASE WHEN tcp THEN 'tcp' ELSE 'udp' END AS proto,
     CASE WHEN tcp THEN CASE l_linenumber WHEN 1 THEN 2 WHEN 2 THEN 18 WHEN 6 THEN 17 WHEN 7 THEN 4 ELSE 24 END END AS tcp_flags,
     l_partkey % 97 = 0 AS fragmented,

@@ -57,8 +57,8 @@ def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PACKET_DECODE = """SELECT l_orderkey * 10 + l_linenumber AS sequence, CASE WHEN cut THEN 'malformed' ELSE 'packet' END AS kind,
   CASE WHEN NOT cut THEN '10.0.' || (l_orderkey % 65536 // 256) || '.' || (l_orderkey % 256) END AS src_ip, CASE WHEN NOT cut THEN '172.0.' || (l_partkey % 65536 // 256) || '.' || (l_partkey % 256) END AS dst_ip,
-  CASE WHEN NOT cut THEN 20000 + l_orderkey % 10000 END AS src_port, CASE WHEN NOT cut THEN 53 + l_linenumber END AS dst_port, CASE WHEN NOT cut THEN 'udp' END AS proto,
-  CASE WHEN NOT cut THEN l_quantity::INT END AS payload_length, CASE WHEN cut THEN 30 ELSE 42 + l_quantity::INT END AS original_len
+  (CASE WHEN NOT cut THEN 20000 + l_orderkey % 10000 END)::INT AS src_port, CASE WHEN NOT cut THEN 53 + l_linenumber END AS dst_port, CASE WHEN NOT cut THEN 'udp' END AS proto,
+  CASE WHEN NOT cut THEN l_quantity::INT END AS payload_length, (CASE WHEN cut THEN 30 ELSE 42 + l_quantity::INT END)::BIGINT AS original_len
 FROM (SELECT *, l_partkey % 10 = 0 AS cut FROM lineitem)"""
 
 
