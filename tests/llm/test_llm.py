@@ -55,6 +55,8 @@ def test_main_text():
     <aside>side</aside><form><input><p>subscribe</p></form><div class="ad">buy</div><p>Last.</article><section id="comments"><article class="comment"><p>First!</p></article></section></main>
     <footer>&copy;</footer></body></html>"""
     assert html_extract.main_text(page) == "Head & line\nFirst one more\nsecond boldword\nthird\nLast."
+    assert html_extract.main_text('<div class="page has-sidebar"><main><p>In <span class="ad">x<span>y</span>z</span> here</main></div>') == "In here"
+    assert html_extract.main_text('<div class="sidebar"><article><p>All there is</article></div>') == "All there is"
     plain = "<div><a href=1>one</a> <a href=2>two</a></div>" + "<div>x</div>" * 3 + "".join(f"<p>{'long words stand here ' * 5}{k}</p>" for k in range(4)) + "<div>tail</div>" * 2
     got = html_extract.main_text(plain)
     assert got.count("long words") == 20 and "one" not in got

@@ -45,6 +45,7 @@ NAMES = frozenset(
     " comment comments commentlist respond reply replies disqus discussion"
     " share sharing social form search searchbox".split()
 )
+ABOUT = frozenset("has have no non not with without hide show under above below".split())
 #: Names in a class that weigh less: on an article they describe it and do not make it furniture.
 ARTICLE = frozenset(("article", "main"))
 
@@ -58,7 +59,13 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def is_furniture(tag: str, rest: str, inside_article: bool) -> bool:
+def named(word: str) -> bool:
+    """Whether a class or id names furniture itself, and not that something has some, or has none."""
+    parts = [p.lower() for p in PART.findall(word)]
+    return any(p in NAMES and not (k and parts[k - 1] in ABOUT) for k, p in enumerate(parts))
+
+
+def is_furniture(tag: str, rest: str, inside_article: bool, names: bool = True) -> bool:
     if tag in FURNITURE or tag == "header" and not inside_article:
         return True
     if "=" not in rest and "hidden" not in rest or tag in ("html", "body"):
@@ -68,19 +75,28 @@ def is_furniture(tag: str, rest: str, inside_article: bool) -> bool:
         if name in ("class", "id"):
             if tag in ARTICLE and not any(p.startswith("comment") for p in map(str.lower, PART.findall(value))):
                 continue
-            if any(p.lower() in NAMES for word in value.split() for p in PART.findall(word)):
+            if names and any(named(word) for word in value.split()):
                 return True
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", rest)))
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, in furniture, in a marked article, characters of links) of each block with text, in page order."""
+def inline(own: tuple[str, bool, bool], outer: tuple[str, bool, bool] | None) -> bool:
+    """Whether an open element is furniture that stands in a line, of itself."""
+    return own[0] not in BLOCK and own[1] and not (outer and outer[1])
+
+
+def blocks(page: str, names: bool = True) -> list[tuple[str, bool, bool, int]]:
+    """(text, in furniture, in a marked article, characters of links) of each block with text, in page order.
+
+    Without ``names`` only elements and roles make furniture.
+    """
     out: list[tuple[str, bool, bool, int]] = []
     open_: list[tuple[str, bool, bool]] = []  # element, in furniture, in an article
     furniture = article = False
     links = 0
+    mute = 0  # open furniture that stands in a line: its text is dropped, and the line goes on
     parts: list[str] = []
     linked = 0
     at = 0
@@ -95,7 +111,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, int]]:
         linked = 0
 
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute:
             parts.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
@@ -115,17 +131,20 @@ def blocks(page: str) -> list[tuple[str, bool, bool, int]]:
         if m["end"]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    flush()
+                    if any(o[0] in BLOCK for o in open_[k:]):
+                        flush()
                     del open_[k:]
                     furniture, article = open_[-1][1:] if open_ else (False, False)
+                    mute = sum(inline(o, open_[j - 1] if j else None) for j, o in enumerate(open_))
                     break
             else:
                 if block:
                     flush()
             continue
-        new = is_furniture(tag, m["rest"], article)
-        if block or new:
+        new = is_furniture(tag, m["rest"], article, names)
+        if block:
             flush()
+            mute = 0 if not any(o[0] in FURNITURE and o[0] not in BLOCK for o in open_) else mute
         if tag in VOID or m["rest"].endswith("/") and not block:
             continue
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # a new one closes an open one
@@ -136,20 +155,27 @@ def blocks(page: str) -> list[tuple[str, bool, bool, int]]:
                     break
                 if open_[k][0] in ("div", "ul", "ol", "dl", "table", "article", "section", "main", "blockquote", "aside", "nav", "form"):
                     break
-        if not block and not new:
+        if not block and not new and all(o[0] != tag for o in open_):
             continue
         furniture = furniture or new
         article = (article or tag in ARTICLE) and not (tag in ARTICLE and new)
         open_.append((tag, furniture, article))
-    if at < len(page):
+        mute += new and not block
+    if at < len(page) and not mute:
         parts.append(page[at:])
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The page's main text, one line a block."""
-    lines = blocks(page or "")
+    """The page's main text, one line a block.
+
+    Where the names of classes leave nothing (a wrapper that is named after what stands in it), they are not looked at.
+    """
+    return kept_text(blocks(page or "")) or kept_text(blocks(page or "", names=False))
+
+
+def kept_text(lines: list[tuple[str, bool, bool, int]]) -> str:
     marked = any(inside and not furniture for _, furniture, inside, _ in lines)
     weight = [0 if furniture or marked and not inside or linked >= LINKS * len(text) and not inside else len(text) for text, furniture, inside, linked in lines]
     threshold = 1 if marked else min(SURGE, max(weight, default=0))
