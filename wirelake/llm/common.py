@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read again.
 
-    A later stage that loses an executor rereads the table instead of computing it anew.
+    A later stage that loses an executor rereads the table instead of computing it anew. ``arrow_rows`` bounds the rows that a
+    Python worker gets at a time while the table is made, for rows with whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows is not None:
+        spark.conf.set(ARROW_ROWS, str(min(arrow_rows, int(before))))
+    try:
+        df.write.option("compression", "snappy").parquet(path)  # little native memory for each of many small tables
+    finally:
+        if arrow_rows is not None:
+            spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,16 +2,18 @@
 
 A document's set is the distinct shingles of its normalised words. Documents of equal sets of words in order are
 one class, kept by its smallest id; only classes are joined. Each of several independent trees branches a class
-recursively: a node chooses one position of the minwise sketch, or two, so that a pair at the threshold is
-expected to share one child or more, and a class goes to the child named by its token there. Nodes of one class drop
+recursively: a node chooses one position of the minwise sketch, or two, so that a pair near the threshold is expected to
+share one child or more, and a class goes to the child named by its token there. Nodes of one class drop
 out. In the other nodes every class is first held against the node's smallest (a star, linear in the node), then, of
 what looks apart after that, small nodes are compared exhaustively and large ones are branched deeper, until the
-depth limit; there, the members are held against one member of each group in the node. Sketches
-screen the pairs, and every link is confirmed on the full sets; members that only looked alike are compared again. Links make components, and a component keeps
+depth limit; there, each member is held against one of another group in the node. Probes (a few bits of the
+sketches, in the joins' conditions) and then sketches screen the pairs, and every link is confirmed on the full sets; members that only looked alike are compared again. Links make components, and a component keeps
 its smallest document.
 
-A pair with Jaccard similarity s meets in one tree at the first depth of two with probability s ** 2 or more, so with
-``TREES`` = 12 a pair at 0.85 is missed with probability below 3e-7 before its node is compared.
+At the first depth of six, a pair whose sketches agree in a share s of their positions still shares a node of one tree with
+probability 0.57 (s = 0.86) or 0.51 (s = 0.82), so all 14 trees miss a pair at the threshold with probability near 1e-5, one whose
+sketches happen to agree that little near 5e-5. Where nodes are large and their members near the threshold, a pair must stay
+together down to a small node; the expected number of children that it shares stays above one a level.
 
 Edge cases: texts without words, null texts and null ids are linked with nothing (component_id is the doc_id, kept is
 true; n_shingles 0 for no words); texts with fewer words than a shingle are one shingle whole; rows with equal doc_id
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +40,17 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE = 5
 #: Positions of a sketch, independent trees, depths at which nodes are formed, the largest node compared exhaustively.
-SKETCH, TREES, DEPTHS, SMALL = 128, 12, (2, 5, 10), 48
-#: How far below the threshold a sketch may estimate a pair that is still confirmed: over four standard errors.
-MARGIN = 0.15
-MEMO = 300_000
+SKETCH, TREES, DEPTHS, SMALL = 128, 14, (6, 10, 14), 64
+#: Similarity at which a pair is expected to keep one shared child a level, down to the first depth and below it: lower there, as a
+#: pair's sketches can agree less than its sets.
+BRANCH = 0.85, 0.75
+#: How far below the threshold a sketch may estimate a pair that is still confirmed: about four standard errors.
+MARGIN = 0.12
+#: Digits of 32 that a pair's probes must share to be screened: about four standard errors below what a link has.
+PROBE = 20
+MEMO = 50_000
+#: Rows that a Python worker gets at a time: with texts, and without.
+TEXT_ROWS, PLAIN_ROWS = 500, 2000
 
 _U = np.uint64
 TOKEN = np.uint16
@@ -57,6 +66,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _POSITIONS = _mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_SCALE, _SHIFT = (_POSITIONS | _U(1)).astype(np.uint32), (_POSITIONS >> _U(32)).astype(np.uint32)
+_DIGITS = np.tile(np.arange(0, 64, 4, dtype=np.uint64), 2)
 _memo: dict[bytes, int] = {}
 
 
@@ -91,14 +102,25 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def sketch_of(values: np.ndarray) -> np.ndarray:
-    """The least of the set under each position's permutation, in blocks so that long texts stay small."""
-    best = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 2048):
-        block = values[at : at + 2048]
-        x = (block[:, None] ^ _POSITIONS[None, :]) * _U(0xFF51AFD7ED558CCD)
-        x ^= x >> _U(32)
-        best = np.minimum(best, (x * _U(0xC4CEB9FE1A85EC53)).min(axis=0))
-    return best
+    """For each position, a token of the shingle that comes first in the position's order.
+
+    The orders are linear maps of the shingles' own hashes; in blocks, so that long texts stay small. The token is
+    the low bits of the least value: its high bits say how large the set is.
+    """
+    best = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    low = values.astype(np.uint32)
+    for at in range(0, len(low), 4096):
+        x = np.multiply.outer(_SCALE, low[at : at + 4096])
+        x += _SHIFT[:, None]
+        np.minimum(best, x.min(axis=1), out=best)
+    return best.astype(TOKEN)
+
+
+def probes_of(sketched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row two words of sixteen digits, a digit for every fourth position."""
+    digits = (sketched[:, :: SKETCH // 32] & 15).astype(np.uint64) << _DIGITS
+    words = np.bitwise_or.reduce(digits.reshape(-1, 2, 16), axis=2).view(np.int64)
+    return words[:, 0], words[:, 1]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -115,51 +137,88 @@ def sketches(docs: DataFrame) -> DataFrame:
                     continue
                 digest = xxhash.xxh128_digest(b" ".join(words))
                 a, b = np.frombuffer(digest, np.int64)
-                rows.append((doc_id, len(values), int(a), int(b), (sketch_of(values) >> _U(48)).astype(TOKEN).tobytes()))
+                rows.append((doc_id, len(values), int(a), int(b), sketch_of(values).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "a", "b", "sketch"]).astype({"a": "Int64", "b": "Int64"})
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, a long, b long, sketch binary")
 
 
-def paths(sketch: np.ndarray, tree: int, depth: int, threshold: float, seed: int = 0) -> list[int]:
-    """Nodes of a tree at a depth to which the sketch belongs; all members of a node choose alike."""
-    spare = 1 / threshold - 1  # expected children beyond the first
-    now = [xxhash.xxh64_intdigest(b"%d %d" % (seed, tree))]
-    for _ in range(depth):
-        children = []
-        for node in now:
-            draw = xxhash.xxh64_intdigest(node.to_bytes(8, "little"))
-            places = [draw % SKETCH]
-            if (draw >> 40) / (1 << 24) < spare:
-                places.append((places[0] + 1 + (draw >> 16) % (SKETCH - 1)) % SKETCH)
-            children += [xxhash.xxh64_intdigest(node.to_bytes(8, "little") + p.to_bytes(1, "little") + int(sketch[p]).to_bytes(2, "little")) for p in places]
-        now = list(dict.fromkeys(children))
-    return now
+def descend(nodes: np.ndarray, rows: np.ndarray, sketched: np.ndarray, steps: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, rows) that lie ``steps`` below (nodes, rows), rows being those of ``sketched``.
+
+    A node draws one position or two, so that a pair of that similarity is expected to share one child; all members of a
+    node draw alike, and go to the child that their token at the position names.
+    """
+    spare = _U(int((1 / similarity - 1) * (1 << 24)))  # share of nodes that draw a second position
+    for _ in range(steps):
+        draw = _mixed(nodes ^ _U(0x5851F42D4C957F2D))
+        place = draw % _U(SKETCH)
+        second = (draw >> _U(40)) < spare
+        other = (place + _U(1) + (draw >> _U(16)) % _U(SKETCH - 1)) % _U(SKETCH)
+        nodes = np.concatenate([_child(nodes, rows, sketched, place), _child(nodes[second], rows[second], sketched, other[second])])
+        rows = np.concatenate([rows, rows[second]])
+    return nodes, rows
+
+
+def _child(nodes: np.ndarray, rows: np.ndarray, sketched: np.ndarray, place: np.ndarray) -> np.ndarray:
+    token = sketched[rows, place.astype(np.int64)].astype(np.uint64)
+    return _mixed(nodes * _U(0x9E3779B97F4A7C15) + (place << _U(16) | token) + _U(1))
+
 
+NODE_ROWS = "node long, id long, p long, q long"
 
-def node_rows(reps: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
-    """(node, id) for each tree and path of ``reps`` (id, sketch)."""
+
+def _matrix(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), TOKEN).reshape(-1, SKETCH)
+
+
+def first_rows(reps: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(node, id, probes) for each tree and path of ``reps`` (id, sketch)."""
+    roots = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            nodes, ids = [], []
-            for i, raw in zip(pdf["id"], pdf["sketch"], strict=True):
-                sketch = np.frombuffer(raw, TOKEN)
-                for t in range(trees):
-                    own = paths(sketch, t, depth, threshold)
-                    nodes += own
-                    ids += [i] * len(own)
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "id": np.array(ids, np.int64)})
+            sketched = _matrix(pdf["sketch"])
+            start = np.arange(len(pdf))
+            nodes, rows = descend(np.repeat(roots, len(pdf)), np.tile(start, trees), sketched, depth, BRANCH[0])
+            p, q = probes_of(sketched)
+            yield pd.DataFrame({"node": nodes.view(np.int64), "id": pdf["id"].to_numpy()[rows], "p": p[rows], "q": q[rows]})
 
-    return reps.mapInPandas(run, "node long, id long")
+    return reps.mapInPandas(run, NODE_ROWS)
+
+
+def deeper_rows(rows: DataFrame, sketched: DataFrame, steps: int) -> DataFrame:
+    """The members (node, id, probes) of nodes, ``steps`` further down."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            nodes, at = descend(pdf["node"].to_numpy().view(np.uint64), np.arange(len(pdf)), _matrix(pdf["sketch"]), steps, BRANCH[1])
+            yield pd.DataFrame({"node": nodes.view(np.int64), **{c: pdf[c].to_numpy()[at] for c in ("id", "p", "q")}})
+
+    # A document of many large nodes, or a node of many documents, is dealt out evenly.
+    full = rows.select("node", "id", "p", "q").join(sketched, "id").select("node", "id", "p", "q", "sketch").repartition("node", "id")
+    return full.mapInPandas(run, NODE_ROWS)
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
-    """(node, id, first, size) of the nodes with two members or more, first being the smallest."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+    """(node, id, probes, first, size) of the nodes with two members or more, first being the smallest."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("id", "p", "q")).alias("first")).where("size > 1")
     return rows.join(nodes, "node")
 
 
+def _unlike(a: Column, b: Column) -> Column:
+    """Digits in which two words differ."""
+    x = a.bitwiseXOR(b)
+    for n in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def probed(p: Column, q: Column, p2: Column, q2: Column) -> Column:
+    """Whether the probes do not rule a link out."""
+    return 32 - _unlike(p, p2) - _unlike(q, q2) >= PROBE
+
+
 @F.pandas_udf(T.DoubleType())
 def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal positions of two sketches."""
@@ -186,20 +245,20 @@ def screened(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     left = sketched.select(F.col("id").alias("u"), F.col("sketch").alias("_su"))
     right = sketched.select(F.col("id").alias("v"), F.col("sketch").alias("_sv"))
     near = pairs.join(left, "u").join(right, "v").select("u", "v", estimate("_su", "_sv").alias("similarity"))
-    return written(near.where(F.col("similarity") >= percent / 100 - MARGIN), "near-pairs")
+    return written(near.where(F.col("similarity") >= percent / 100 - MARGIN), "near-pairs", PLAIN_ROWS)
 
 
 def confirmed(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that are links on the full sets."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("_tu"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("_tv"))
-    return written(near.join(left, "u").join(right, "v").where(similar(percent)("_tu", "_tv")).select("u", "v"), "near-links")
+    return written(near.join(left, "u").join(right, "v").where(similar(percent)("_tu", "_tv")).select("u", "v"), "near-links", TEXT_ROWS)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of each id in ``links``, the component being its smallest id, by alternating stars."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    edges = written(edges, "edges")
+    edges, before = written(edges, "edges"), None
     for _ in range(rounds):
         # Large star: what is greater than a node goes to the smallest of its neighbours and itself.
         around = edges.union(edges.select("v", "u")).toDF("x", "y")
@@ -209,11 +268,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         now = written(small, "edges")
-        before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         after = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         edges = now
         if before == after:
             break
+        before = after
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
@@ -223,24 +282,30 @@ def with_component(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
 
 
 def apart(rows: DataFrame, group: list[str], by: str) -> DataFrame:
-    """The rows (group, id, by) of groups that hold two values of ``by`` or more, with the group's size."""
-    open_ = rows.groupBy(*group).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"), F.count("*").alias("size")).where("_lo < _hi")
-    return rows.join(open_.select(*group, "size"), group)
+    """The rows (group, id, probes, by) of groups that hold two values of ``by`` or more, with the group's size and two of its
+    members, of the least and of the greatest value."""
+    member = F.struct(F.col(by).alias("by"), "id", "p", "q")
+    open_ = rows.groupBy(*group).agg(F.min(member).alias("_lo"), F.max(member).alias("_hi"), F.count("*").alias("size")).where("_lo.by < _hi.by")
+    return rows.join(open_, group)
 
 
 def cross_pairs(rows: DataFrame, group: list[str], by: str, large: bool) -> DataFrame:
-    """Pairs of a group's members that differ in ``by``: all of them in small groups, and in large ones, if asked
-    for, all with one member of each of its values."""
+    """Pairs of a group's members that differ in ``by``, less those that the probes rule out: all of them in small groups, and in
+    large ones, if asked for, each member's with one member of another value. That is linear in a large group; the other
+    trees have other members of it."""
     small = rows.where(F.col("size") <= SMALL)
-    a = small.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"))
-    b = small.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"))
-    pairs = a.join(b, group).where((F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv"))).select("u", "v")
+    a = small.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"), F.col("p").alias("_pu"), F.col("q").alias("_qu"))
+    b = small.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"), F.col("p").alias("_pv"), F.col("q").alias("_qv"))
+    for g in group:
+        b = b.withColumnRenamed(g, f"_{g}")
+    on = (F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv")) & probed(F.col("_pu"), F.col("_qu"), F.col("_pv"), F.col("_qv"))
+    for g in group:
+        on = on & (F.col(g) == F.col(f"_{g}"))
+    pairs = a.join(b, on).select("u", "v")
     if large:
-        big = rows.where(F.col("size") > SMALL)
-        heads = big.groupBy(*group, F.col(by).alias("_cu")).agg(F.min("id").alias("_head"))
-        few = heads.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") <= SMALL)
-        against = big.join(heads.join(few, group), group).where(F.col(by) != F.col("_cu"))
-        pairs = pairs.union(against.select(F.least("_head", "id").alias("u"), F.greatest("_head", "id").alias("v")))
+        other = F.when(F.col(by) == F.col("_lo.by"), F.col("_hi")).otherwise(F.col("_lo"))
+        big = rows.where(F.col("size") > SMALL).withColumn("_o", other).where(probed(F.col("p"), F.col("q"), F.col("_o.p"), F.col("_o.q")))
+        pairs = pairs.union(big.select(F.least("_o.id", "id").alias("u"), F.greatest("_o.id", "id").alias("v")))
     return pairs.distinct()
 
 
@@ -249,55 +314,54 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = 85, trees: int = TREES
     threshold = percent / 100
     near: DataFrame | None = None
     tried: DataFrame | None = None
-    levels = []
-    inside = sketched = reps
+    sketched = reps
 
     def attempt(pairs: DataFrame) -> DataFrame:
-        """Screens the pairs that are new; what is alike so far."""
+        """Those of the pairs, if they are new, that the sketches do not rule out."""
         nonlocal near, tried
         new = written(pairs.join(tried, ["u", "v"], "left_anti") if tried is not None else pairs, "pairs")
         tried = new if tried is None else tried.union(new)
         found = screened(new, sketched, percent)
         near = found if near is None else near.union(found)
-        return written(components(near.where(F.col("similarity") >= threshold)), "alike")
-
-    for level, depth in enumerate(depths):
-        nodes = written(shared_nodes(node_rows(inside, depth, threshold, trees)), "nodes")
-        levels.append(nodes.select("node", "id"))
-        if not level:
-            sketched = written(reps.join(nodes.select("id").distinct(), "id", "left_semi"), "active")
-        alike = attempt(nodes.where("id != first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct())
-        last = level == len(depths) - 1
-        open_ = written(apart(with_component(levels[-1], alike, "alike"), ["node"], "alike"), "open-nodes")
-        alike = attempt(cross_pairs(open_, ["node"], "alike", last))
-        deeper = open_.where(F.col("size") > SMALL).select("id").distinct()
-        if last or deeper.isEmpty():
-            break
-        inside = sketched.join(deeper, "id", "left_semi")
-
-    ids = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    own = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+        return found
+
+    # By the sketches alone: stars, and what these leave apart in small nodes.
+    nodes = written(shared_nodes(first_rows(reps, depths[0], trees)), "nodes", PLAIN_ROWS)
+    rows = nodes.select("node", "id", "p", "q")
+    sketched = written(reps.join(nodes.select("id").distinct(), "id", "left_semi"), "active")
+    star = nodes.where((F.col("id") != F.col("first.id")) & probed(F.col("p"), F.col("q"), F.col("first.p"), F.col("first.q")))
+    attempt(star.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
+    alike = written(components(near.where(F.col("similarity") >= threshold)), "alike")
+    open_ = written(apart(with_component(rows, alike, "alike"), ["node"], "alike"), "open-nodes")
+    attempt(cross_pairs(open_, ["node"], "alike", False))
+
+    # The texts of all that can still be linked.
+    ids = near.select(F.explode(F.array("u", "v")).alias("id")).union(open_.where(F.col("size") > SMALL).select("id")).distinct()
+    own = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
     # Rows with one doc_id are one document: the one with the greatest text.
-    texts = written(own.groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")), "near-texts")
+    texts = written(own.groupBy("id").agg(F.max("text").alias("text")), "near-texts")
     links = confirmed(near, texts, percent)
     comps = written(components(links), "components")
 
-    # Members of a node that looked alike were not all compared; those that the full sets left apart are now.
-    rows = levels[0]
-    for more in levels[1:]:
-        rows = rows.union(more)
-    rows = with_component(with_component(rows.join(texts.select("id"), "id", "left_semi"), alike, "alike"), comps, "component")
-    again = apart(rows, ["node", "alike"], "component")
-    pairs = cross_pairs(written(again, "again"), ["node", "alike"], "component", True)
-    more = screened(written(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), sketched, percent)
-    if more.isEmpty():
-        return comps
-    return written(components(links.union(confirmed(more, texts, percent))), "components")
+    # By the full sets: members that only looked alike, and those of large nodes, deeper level by level.
+    rows = rows.join(texts.select("id"), "id", "left_semi")
+    for level in range(len(depths)):
+        last = level == len(depths) - 1
+        open_ = written(apart(with_component(rows.select("node", "id", "p", "q"), comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
+        more = confirmed(attempt(cross_pairs(open_, ["node"], "component", last)), texts, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = written(components(links), "components")
+        large = open_.where(F.col("size") > SMALL)
+        if last or large.isEmpty():
+            break
+        rows = written(deeper_rows(large, sketched, depths[level + 1] - depths[level]), "deeper", PLAIN_ROWS)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    rows = written(sketches(docs), "sketches")
+    rows = written(sketches(docs), "sketches", TEXT_ROWS)
     # A repeated doc_id stands once, for its greatest text; see confirm().
     full = rows.where("n > 0")
     classes = written(full.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
