@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wirelake.llm import decontam, mixing, near_dedup, quality, secret_scan
 from wirelake.llm.common import read_table, written
+from wirelake.session import prepare
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.keep_quality(docs, read_table(spark, sf_dir, "labels"))
+    return quality.keep_quality(docs, read_table(prepare(spark), sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    prepare(spark)
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(docs, read_table(prepare(spark), sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
