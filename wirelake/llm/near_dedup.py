@@ -46,8 +46,9 @@ SKETCH, TREES, DEPTHS, SMALL = 128, 14, (6, 10, 14), 64
 BRANCH = 0.85, 0.75
 #: How far below the threshold a sketch may estimate a pair that is still confirmed: about four standard errors.
 MARGIN = 0.12
-#: Digits of 32 that a pair's probes must share to be screened: about four standard errors below what a link has.
-PROBE = 20
+#: Columns of a probe, sixteen digits each, and digits of them all that a pair must share to be screened: about four standard
+#: errors below what a link has.
+PROBES, PROBE = ("p", "q", "r", "s"), 45
 MEMO = 50_000
 #: Rows that a Python worker gets at a time: with texts, and without.
 TEXT_ROWS, PLAIN_ROWS = 500, 2000
@@ -67,7 +68,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _POSITIONS = _mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _SCALE, _SHIFT = (_POSITIONS | _U(1)).astype(np.uint32), (_POSITIONS >> _U(32)).astype(np.uint32)
-_DIGITS = np.tile(np.arange(0, 64, 4, dtype=np.uint64), 2)
+_DIGITS = np.tile(np.arange(0, 64, 4, dtype=np.uint64), 4)
 _memo: dict[bytes, int] = {}
 
 
@@ -116,11 +117,11 @@ def sketch_of(values: np.ndarray) -> np.ndarray:
     return best.astype(TOKEN)
 
 
-def probes_of(sketched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row two words of sixteen digits, a digit for every fourth position."""
-    digits = (sketched[:, :: SKETCH // 32] & 15).astype(np.uint64) << _DIGITS
-    words = np.bitwise_or.reduce(digits.reshape(-1, 2, 16), axis=2).view(np.int64)
-    return words[:, 0], words[:, 1]
+def probes_of(sketched: np.ndarray) -> dict[str, np.ndarray]:
+    """For each row the words of its probe: a digit for every second position."""
+    digits = (sketched[:, :: SKETCH // 64] & 15).astype(np.uint64) << _DIGITS
+    words = np.bitwise_or.reduce(digits.reshape(-1, len(PROBES), 16), axis=2).view(np.int64)
+    return {c: words[:, k] for k, c in enumerate(PROBES)}
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def _child(nodes: np.ndarray, rows: np.ndarray, sketched: np.ndarray, place: np.
     return _mixed(nodes * _U(0x9E3779B97F4A7C15) + (place << _U(16) | token) + _U(1))
 
 
-NODE_ROWS = "node long, id long, p long, q long"
+NODE_ROWS = ", ".join(f"{c} long" for c in ("node", "id", *PROBES))
 
 
 def _matrix(sketches: pd.Series) -> np.ndarray:
@@ -181,8 +182,8 @@ def first_rows(reps: DataFrame, depth: int, trees: int) -> DataFrame:
             sketched = _matrix(pdf["sketch"])
             start = np.arange(len(pdf))
             nodes, rows = descend(np.repeat(roots, len(pdf)), np.tile(start, trees), sketched, depth, BRANCH[0])
-            p, q = probes_of(sketched)
-            yield pd.DataFrame({"node": nodes.view(np.int64), "id": pdf["id"].to_numpy()[rows], "p": p[rows], "q": q[rows]})
+            probes = {c: x[rows] for c, x in probes_of(sketched).items()}
+            yield pd.DataFrame({"node": nodes.view(np.int64), "id": pdf["id"].to_numpy()[rows], **probes})
 
     return reps.mapInPandas(run, NODE_ROWS)
 
@@ -193,16 +194,16 @@ def deeper_rows(rows: DataFrame, sketched: DataFrame, steps: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             nodes, at = descend(pdf["node"].to_numpy().view(np.uint64), np.arange(len(pdf)), _matrix(pdf["sketch"]), steps, BRANCH[1])
-            yield pd.DataFrame({"node": nodes.view(np.int64), **{c: pdf[c].to_numpy()[at] for c in ("id", "p", "q")}})
+            yield pd.DataFrame({"node": nodes.view(np.int64), **{c: pdf[c].to_numpy()[at] for c in ("id", *PROBES)}})
 
     # A document of many large nodes, or a node of many documents, is dealt out evenly.
-    full = rows.select("node", "id", "p", "q").join(sketched, "id").select("node", "id", "p", "q", "sketch").repartition("node", "id")
+    full = rows.select("node", "id", *PROBES).join(sketched, "id").select("node", "id", *PROBES, "sketch").repartition("node", "id")
     return full.mapInPandas(run, NODE_ROWS)
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
     """(node, id, probes, first, size) of the nodes with two members or more, first being the smallest."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("id", "p", "q")).alias("first")).where("size > 1")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("id", *PROBES)).alias("first")).where("size > 1")
     return rows.join(nodes, "node")
 
 
@@ -214,9 +215,16 @@ def _unlike(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
-def probed(p: Column, q: Column, p2: Column, q2: Column) -> Column:
-    """Whether the probes do not rule a link out."""
-    return 32 - _unlike(p, p2) - _unlike(q, q2) >= PROBE
+def probed(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two probes do not rule a link out."""
+    unlike = F.lit(0)
+    for c in PROBES:
+        unlike = unlike + _unlike(a[c], b[c])
+    return 16 * len(PROBES) - unlike >= PROBE
+
+
+def _probe(prefix: str = "", suffix: str = "") -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}{suffix}") for c in PROBES}
 
 
 @F.pandas_udf(T.DoubleType())
@@ -284,7 +292,7 @@ def with_component(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
 def apart(rows: DataFrame, group: list[str], by: str) -> DataFrame:
     """The rows (group, id, probes, by) of groups that hold two values of ``by`` or more, with the group's size and two of its
     members, of the least and of the greatest value."""
-    member = F.struct(F.col(by).alias("by"), "id", "p", "q")
+    member = F.struct(F.col(by).alias("by"), "id", *PROBES)
     open_ = rows.groupBy(*group).agg(F.min(member).alias("_lo"), F.max(member).alias("_hi"), F.count("*").alias("size")).where("_lo.by < _hi.by")
     return rows.join(open_, group)
 
@@ -294,17 +302,17 @@ def cross_pairs(rows: DataFrame, group: list[str], by: str, large: bool) -> Data
     large ones, if asked for, each member's with one member of another value. That is linear in a large group; the other
     trees have other members of it."""
     small = rows.where(F.col("size") <= SMALL)
-    a = small.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"), F.col("p").alias("_pu"), F.col("q").alias("_qu"))
-    b = small.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"), F.col("p").alias("_pv"), F.col("q").alias("_qv"))
+    a = small.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"), *[F.col(c).alias(f"_{c}u") for c in PROBES])
+    b = small.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"), *[F.col(c).alias(f"_{c}v") for c in PROBES])
     for g in group:
         b = b.withColumnRenamed(g, f"_{g}")
-    on = (F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv")) & probed(F.col("_pu"), F.col("_qu"), F.col("_pv"), F.col("_qv"))
+    on = (F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv")) & probed(_probe("_", "u"), _probe("_", "v"))
     for g in group:
         on = on & (F.col(g) == F.col(f"_{g}"))
     pairs = a.join(b, on).select("u", "v")
     if large:
         other = F.when(F.col(by) == F.col("_lo.by"), F.col("_hi")).otherwise(F.col("_lo"))
-        big = rows.where(F.col("size") > SMALL).withColumn("_o", other).where(probed(F.col("p"), F.col("q"), F.col("_o.p"), F.col("_o.q")))
+        big = rows.where(F.col("size") > SMALL).withColumn("_o", other).where(probed(_probe(), _probe("_o.")))
         pairs = pairs.union(big.select(F.least("_o.id", "id").alias("u"), F.greatest("_o.id", "id").alias("v")))
     return pairs.distinct()
 
@@ -327,9 +335,9 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = 85, trees: int = TREES
 
     # By the sketches alone: stars, and what these leave apart in small nodes.
     nodes = written(shared_nodes(first_rows(reps, depths[0], trees)), "nodes", PLAIN_ROWS)
-    rows = nodes.select("node", "id", "p", "q")
+    rows = nodes.select("node", "id", *PROBES)
     sketched = written(reps.join(nodes.select("id").distinct(), "id", "left_semi"), "active")
-    star = nodes.where((F.col("id") != F.col("first.id")) & probed(F.col("p"), F.col("q"), F.col("first.p"), F.col("first.q")))
+    star = nodes.where((F.col("id") != F.col("first.id")) & probed(_probe(), _probe("first.")))
     attempt(star.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
     alike = written(components(near.where(F.col("similarity") >= threshold)), "alike")
     open_ = written(apart(with_component(rows, alike, "alike"), ["node"], "alike"), "open-nodes")
@@ -344,11 +352,12 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = 85, trees: int = TREES
     comps = written(components(links), "components")
 
     # By the full sets: members that only looked alike, and those of large nodes, deeper level by level.
-    rows = rows.join(texts.select("id"), "id", "left_semi")
+    # In small nodes of the first level, what did not look alike was compared above.
+    rows = with_component(rows.join(texts.select("id"), "id", "left_semi"), alike, "alike")
     for level in range(len(depths)):
-        last = level == len(depths) - 1
-        open_ = written(apart(with_component(rows.select("node", "id", "p", "q"), comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
-        more = confirmed(attempt(cross_pairs(open_, ["node"], "component", last)), texts, percent)
+        last, group = level == len(depths) - 1, ["node"] if level else ["node", "alike"]
+        open_ = written(apart(with_component(rows.select(*group, "id", *PROBES), comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
+        more = confirmed(attempt(cross_pairs(open_, group, "component", last)), texts, percent)
         if not more.isEmpty():
             links = links.union(more)
             comps = written(components(links), "components")
