@@ -275,6 +275,32 @@ def test_near_duplicates_large_group(spark):
     assert [got[k] for k in range(len(texts))] == components(texts)[0]
 
 
+def hub_texts(n):
+    """An original in the middle, and copies of it that are links with it and not with one another."""
+    rng = Random(6)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for k in range(n):
+        copy = list(base)
+        for j in rng.sample(range(66), 6) if k != n // 2 else ():
+            copy[6 * j + 2] = f"x{k}y{j}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def jaccards(texts, k):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    return [len(s & sets[k]) / len(s | sets[k]) for s in sets]
+
+
+def test_near_duplicates_of_a_hub(spark):
+    """Depths so few that nodes are large at the last, as they are at the usual ones with thousands of copies."""
+    n = 300
+    texts = hub_texts(n)
+    assert min(jaccards(texts, n // 2)) >= 0.85 and sum(x >= 0.85 for x in jaccards(texts, 0)) <= 10
+    found = near_dedup.near_duplicates(docs_of(spark, texts), trees=4, depths=(1, 2)).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in found] == [(0, n)]
+
+
 def test_keep_one_and_repeated_rows(spark):
     df = docs_of(spark, ["a b c d e f", "a b c d e f", None, "z"])
     df = df.union(df.where("doc_id in (0, 2)")).union(spark.createDataFrame([(None, "z", None, None, None, None, None)], DOCS))

@@ -6,7 +6,9 @@ recursively: a node chooses one position of the minwise sketch, or two, so that
 share one child or more, and a class goes to the child named by its token there. Nodes of one class drop
 out. In the other nodes every class is first held against the node's smallest (a star, linear in the node), then, of
 what looks apart after that, small nodes are compared exhaustively and large ones are branched deeper, until the
-depth limit; there, each member is held against one of another group in the node. Probes (a few bits of the
+depth limit; there, what is still apart in large nodes is compared exhaustively too, in blocks. Before that, at each depth, the
+members of a large node are held against the one that has the most links so far, as large groups are often copies of one
+original: a star again, that leaves little apart. Probes (a few bits of the
 sketches, in the joins' conditions) and then sketches screen the pairs, and every link is confirmed on the full sets; members that only looked alike are compared again. Links make components, and a component keeps
 its smallest document.
 
@@ -39,8 +41,9 @@ from wirelake.llm.common import LOWER, UPPER, written
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE = 5
-#: Positions of a sketch, independent trees, depths at which nodes are formed, the largest node compared exhaustively.
-SKETCH, TREES, DEPTHS, SMALL = 128, 14, (6, 10, 14), 64
+#: Positions of a sketch, independent trees, depths at which nodes are formed, the largest node compared exhaustively above the last
+#: depth, and about the members in a block of a larger one that is compared at the last.
+SKETCH, TREES, DEPTHS, SMALL, BLOCK = 128, 14, (6, 10, 14), 64, 256
 #: Similarity at which a pair is expected to keep one shared child a level, down to the first depth and below it: lower there, as a
 #: pair's sketches can agree less than its sets.
 BRANCH = 0.85, 0.75
@@ -290,31 +293,43 @@ def with_component(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
 
 
 def apart(rows: DataFrame, group: list[str], by: str) -> DataFrame:
-    """The rows (group, id, probes, by) of groups that hold two values of ``by`` or more, with the group's size and two of its
-    members, of the least and of the greatest value."""
-    member = F.struct(F.col(by).alias("by"), "id", *PROBES)
-    open_ = rows.groupBy(*group).agg(F.min(member).alias("_lo"), F.max(member).alias("_hi"), F.count("*").alias("size")).where("_lo.by < _hi.by")
-    return rows.join(open_, group)
+    """The rows (group, id, probes, by) of groups that hold two values of ``by`` or more, with the group's size."""
+    open_ = rows.groupBy(*group).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"), F.count("*").alias("size")).where("_lo < _hi")
+    return rows.join(open_.drop("_lo", "_hi"), group)
 
 
 def cross_pairs(rows: DataFrame, group: list[str], by: str, large: bool) -> DataFrame:
-    """Pairs of a group's members that differ in ``by``, less those that the probes rule out: all of them in small groups, and in
-    large ones, if asked for, each member's with one member of another value. That is linear in a large group; the other
-    trees have other members of it."""
-    small = rows.where(F.col("size") <= SMALL)
-    a = small.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"), *[F.col(c).alias(f"_{c}u") for c in PROBES])
-    b = small.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"), *[F.col(c).alias(f"_{c}v") for c in PROBES])
+    """Pairs of a group's members that differ in ``by``, less those that the probes rule out: all of them, in small groups or, if
+    asked for, in all groups. A large group is dealt out in blocks, and each two of its blocks, or one with itself, are joined
+    by themselves, so that no task gets a whole group."""
+    if large:
+        blocks = F.ceil(F.when(F.col("size") <= SMALL, 1).otherwise(F.col("size") / BLOCK)).cast("int")
+        rows = rows.withColumn("_mine", F.pmod(F.xxhash64(F.lit(1), "id"), blocks).cast("int"))
+        rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.withColumns({"_b": F.least("_mine", "_with"), "_c": F.greatest("_mine", "_with")})
+        group = [*group, "_b", "_c"]
+    else:
+        rows = rows.where(F.col("size") <= SMALL).withColumn("_mine", F.lit(0))
+    a = rows.select(*group, F.col("id").alias("u"), F.col(by).alias("_cu"), F.col("_mine").alias("_mu"), *[F.col(c).alias(f"_{c}u") for c in PROBES])
+    b = rows.select(*group, F.col("id").alias("v"), F.col(by).alias("_cv"), F.col("_mine").alias("_mv"), *[F.col(c).alias(f"_{c}v") for c in PROBES])
     for g in group:
         b = b.withColumnRenamed(g, f"_{g}")
     on = (F.col("u") < F.col("v")) & (F.col("_cu") != F.col("_cv")) & probed(_probe("_", "u"), _probe("_", "v"))
+    if large:  # members of one block meet where it is joined with itself
+        on = on & ((F.col("_mu") != F.col("_mv")) | (F.col("_b") == F.col("_c")))
     for g in group:
         on = on & (F.col(g) == F.col(f"_{g}"))
-    pairs = a.join(b, on).select("u", "v")
-    if large:
-        other = F.when(F.col(by) == F.col("_lo.by"), F.col("_hi")).otherwise(F.col("_lo"))
-        big = rows.where(F.col("size") > SMALL).withColumn("_o", other).where(probed(_probe(), _probe("_o.")))
-        pairs = pairs.union(big.select(F.least("_o.id", "id").alias("u"), F.greatest("_o.id", "id").alias("v")))
-    return pairs.distinct()
+    return a.join(b, on).select("u", "v").distinct()
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """Pairs of each member of a large node with the node's member of the most links, if they differ in ``by``, less those that
+    the probes rule out."""
+    degrees = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    large = rows.where(F.col("size") > SMALL)
+    hubs = large.join(degrees, "id").groupBy("node").agg(F.max(F.struct("degree", "id", by, *PROBES)).alias("_o"))
+    held = large.join(hubs, "node").where((F.col(by) != F.col(f"_o.{by}")) & probed(_probe(), _probe("_o.")))
+    return held.select(F.least("_o.id", "id").alias("u"), F.greatest("_o.id", "id").alias("v")).distinct()
 
 
 def link(docs: DataFrame, reps: DataFrame, percent: int = 85, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -356,7 +371,14 @@ def link(docs: DataFrame, reps: DataFrame, percent: int = 85, trees: int = TREES
     rows = with_component(rows.join(texts.select("id"), "id", "left_semi"), alike, "alike")
     for level in range(len(depths)):
         last, group = level == len(depths) - 1, ["node"] if level else ["node", "alike"]
-        open_ = written(apart(with_component(rows.select(*group, "id", *PROBES), comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
+        rows = rows.select(*group, "id", *PROBES)
+        open_ = written(apart(with_component(rows, comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
+        if not open_.where(F.col("size") > SMALL).isEmpty():
+            more = confirmed(attempt(hub_pairs(open_, links, "component")), texts, percent)
+            if not more.isEmpty():
+                links = links.union(more)
+                comps = written(components(links), "components")
+                open_ = written(apart(with_component(open_.select(*group, "id", *PROBES), comps, "component"), ["node"], "component"), "open-nodes", PLAIN_ROWS)
         more = confirmed(attempt(cross_pairs(open_, group, "component", last)), texts, percent)
         if not more.isEmpty():
             links = links.union(more)
