@@ -374,6 +374,15 @@ def test_licenses(spark):
 # the pipeline
 
 
+def test_near_dedup_stage_of_a_hub(spark, monkeypatch):
+    import functools
+
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(near_dedup, "near_duplicates", functools.partial(near_dedup.near_duplicates, trees=4, depths=(1, 2)))
+    assert [r["doc_id"] for r in p.near_dedup_stage(spark, docs_of(spark, hub_texts(300)), SF).collect()] == [0]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
