@@ -371,6 +371,11 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_anchors_of_a_template_of_five_shingles():
+    """A match of exactly 4/5 can lack the shingle of the longest word: the next is an anchor too."""
+    assert license_scan.anchors({"x": "longestword bb cc dd ee ffff gg hh ii"}) == ["ffff", "longestword"]
+
+
 # the pipeline
 
 

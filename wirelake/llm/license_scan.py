@@ -19,7 +19,9 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +78,7 @@ def anchors(templates: dict[str, str], least: float = LEAST) -> list[str]:
     for text in templates.values():
         w = template_words(text)
         best = sorted((max(x, key=lambda y: (len(y), y)) for x in {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}), key=lambda y: (-len(y), y))
-        found |= set(best[: int((1 - least) * len(best)) + 1])
+        found |= set(best[: len(best) - math.ceil(Fraction(str(least)) * len(best)) + 1])
     return sorted(x for x in found if not any(y != x and y in x for y in found))
 
 
