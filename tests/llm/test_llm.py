@@ -97,6 +97,12 @@ def test_phrases_are_greedy_longest_matches(words, text):
     assert lang_id.SuffixAutomaton(words).phrases(text) == n
 
 
+def test_long_runs_of_letters_are_learnt():
+    run = "".join(chr(0x4E00 + k) for k in range(130))
+    got = lang_id.within(lang_id.Counter({run: 1, "ab": 2}), 1000)
+    assert got[0] == " ab " and "".join(got[1:]) == f" {run} " and lang_id.within(lang_id.Counter({run: 1}), 50) == [f" {run[:47]}"]
+
+
 def test_languages(spark):
     got = queries.op2_lang_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a"), F.min("score").alias("lo"), F.max("score").alias("hi")).first()

@@ -161,18 +161,22 @@ def labelled_words(docs: DataFrame, docs_per_lang: int, chars_per_lang: int, lea
     for lang in sorted(counts):
         top = sample.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(chars_per_lang // 2)
         found[lang] = [(r["n"], r["word"]) for r in top.collect()]
-    return {lang: within(Counter({w: n for n, w in pairs}), chars_per_lang) for lang, pairs in found.items() if pairs}
+    lists = {lang: within(Counter({w: n for n, w in pairs}), chars_per_lang) for lang, pairs in found.items()}
+    return {lang: words for lang, words in lists.items() if words}
 
 
 def within(words: Counter, chars: int) -> list[str]:
+    """The most frequent words, between spaces, up to ``chars`` characters; long runs of letters in pieces, as many as there is room for."""
     out = []
     for w in sorted(words, key=lambda w: (-words[w], w)):
-        if len(w) > MEMO_CHARS:
-            continue
-        chars -= len(w) + 2
-        if chars < 0:
-            break
-        out.append(f" {w} ")
+        marked = f" {w} "
+        step = MEMO_CHARS if len(w) > MEMO_CHARS else len(marked)
+        for at in range(0, len(marked), step):
+            piece = marked[at : at + step]
+            chars -= len(piece)
+            if chars < 0:
+                return out
+            out.append(piece)
     return out
 
 
