@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelake.functions.tables import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -17,20 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where the session names none (tests on one machine) a local temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="wirelake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read again.
 
@@ -50,6 +37,11 @@ def written(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
