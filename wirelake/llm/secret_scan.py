@@ -1,25 +1,31 @@
-"""Secret scans through a trigram index (DataFrame functions only).
+"""Secret scans through a trigram inverted index (DataFrame functions only).
 
 From each rule's regular expression a Boolean trigram query is derived: alternatives of sets of trigrams that
-a match cannot do without. The index holds, for every document, the postings of the rules' trigrams as
-bits, so to intersect a query's postings is to test a mask in the document's own row, and no text moves.
-Only candidates are verified with the expression; rules without a mandatory trigram verify every document.
-``postings`` gives the same index turned round, as (trigram, doc_id) rows, for storage.
+a match cannot do without. The index holds postings, rows (trigram, text), a text being named by a hash. A query's
+postings are intersected: they meet the query's terms, and a text is a candidate of a rule where it has every trigram of an
+alternative. Only candidates are verified with the expression; rules without a mandatory trigram verify every text.
+
+Texts that lack the rarest-looking trigram of every alternative cannot be candidates; they are neither indexed nor moved. The others
+meet their candidate rules by their hash, once; a hash that two texts share makes candidates too many, never too few.
 
 Edge cases: a null text is empty and has no spans (counts 0, the digest of nothing, empty spans); spans count
 code points, end exclusive; matches of one rule do not overlap, matches of different rules may; repeated rows give
-equal rows; an empty table gives an empty result. Columns other than the named ones are ignored; ``redact`` keeps them.
+equal rows; texts with very many matches take time in proportion to their length; an empty table gives an empty result. Columns other than the
+named ones are ignored; ``redact`` keeps them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelake.llm.common import inline_rows, let, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -75,7 +81,7 @@ def needs(strings: set[str] | None) -> Query:
 
 def trigram_query(pattern: str) -> Query:
     """Alternatives of lower-case trigrams, one of which every match of ``pattern`` has whole."""
-    exact, must = _sequence(re._parser.parse(pattern))
+    exact, must = Pattern(pattern).whole()
     query = both(must, needs(exact))
     query = [a for a in query if not any(b < a for b in query)]  # what a part asks for, the whole does too
     return list(dict.fromkeys(map(thinned, query)))
@@ -87,137 +93,239 @@ def thinned(alternative: frozenset[str]) -> frozenset[str]:
     return frozenset(grams[k * (len(grams) - 1) // (DEEP - 1)] for k in range(DEEP)) if len(grams) > DEEP else alternative
 
 
-def _sequence(items) -> tuple[set[str] | None, Query]:
-    """The strings that the items can match, if they are few, and the query beside them."""
-    now: set[str] | None = {""}
-    must, whole = ALWAYS, True
-    for item in items:
-        exact, own = _node(*item)
-        must = both(must, own)
-        if exact is not None and len(now) * len(exact) <= MOST:
-            now = {a + b for a in now for b in exact}
-            continue
-        must, whole = both(both(must, needs(now)), needs(exact)), False
-        now = {""}
-    return (now, must) if whole else (None, both(must, needs(now)))
-
-
-def _node(op, arg) -> tuple[set[str] | None, Query]:
-    name = str(op)
-    if name == "LITERAL":
-        return {chr(arg).lower()}, ALWAYS
-    if name == "IN":
-        letters: set[str] = set()
-        for kind, value in arg:
-            if str(kind) == "LITERAL":
-                letters.add(chr(value).lower())
-            elif str(kind) == "RANGE" and value[1] - value[0] < 8:
-                letters |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-            else:
-                return None, ALWAYS
-        return (letters, ALWAYS) if len(letters) <= 8 else (None, ALWAYS)
-    if name == "SUBPATTERN":
-        return _sequence(arg[-1])
-    if name == "BRANCH":
-        branches = [_sequence(x) for x in arg[1]]
-        if all(e is not None and m == ALWAYS for e, m in branches):
+#: The strings that a piece of a pattern can match, if they are few, and the query beside them.
+Known = tuple[set[str] | None, Query]
+
+
+class Pattern:
+    """Reads literals, escapes, classes, groups, alternatives and repetitions; what else there is matches anything."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def whole(self) -> Known:
+        known = self.alternatives()
+        if self.at < len(self.text):
+            raise ValueError(f"a group that was not opened: {self.text}")
+        return known
+
+    def peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1 : self.at]
+
+    def alternatives(self) -> Known:
+        branches = [self.sequence()]
+        while self.peek() == "|":
+            self.take()
+            branches.append(self.sequence())
+        if len(branches) == 1:
+            return branches[0]
+        if all(e is not None and q == ALWAYS for e, q in branches):
             exact = set().union(*(e for e, _ in branches))
             if len(exact) <= MOST:
                 return exact, ALWAYS
         own = [q for e, m in branches for q in both(m, needs(e))]
         return None, list(dict.fromkeys(own)) if len(own) <= MOST else ALWAYS
-    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-        least, most, inner = arg
-        exact, own = _sequence(inner)
-        if exact is not None and own == ALWAYS and int(most) <= 4 and sum(len(exact) ** n for n in range(least, int(most) + 1)) <= MOST:
-            return {"".join(p) for n in range(least, int(most) + 1) for p in product(exact, repeat=n)}, ALWAYS
+
+    def sequence(self) -> Known:
+        now: set[str] = {""}
+        must, whole = ALWAYS, True
+        while self.peek() not in ("", "|", ")"):
+            exact, own = self.repeated(self.atom())
+            must = both(must, own)
+            if exact is not None and len(now) * len(exact) <= MOST:
+                now = {a + b for a in now for b in exact}
+                continue
+            must, whole = both(both(must, needs(now)), needs(exact)), False
+            now = {""}
+        return (now, must) if whole else (None, both(must, needs(now)))
+
+    def atom(self) -> Known:
+        c = self.take()
+        if c == "(":
+            if self.peek() == "?":
+                m = re.compile(r"\?(?::|P<\w+>|<\w+>)").match(self.text, self.at)
+                if not m:
+                    raise ValueError(f"a group of an unknown kind: {self.text}")
+                self.at = m.end()
+            known = self.alternatives()
+            if self.take() != ")":
+                raise ValueError(f"a group that is not closed: {self.text}")
+            return known
+        if c == "[":
+            return self.letters()
+        if c in "^$":
+            return {""}, ALWAYS
+        if c == ".":
+            return None, ALWAYS
+        if c == "\\":
+            one = self.escaped()
+            return ({one.lower()}, ALWAYS) if one is not None else (None, ALWAYS)
+        return {c.lower()}, ALWAYS
+
+    def escaped(self) -> str | None:
+        """The character after a backslash; None for a class, the empty text for a place."""
+        c = self.take()
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        if c in "bB":
+            return ""
+        if c.isalnum():
+            return {"n": "\n", "t": "\t", "r": "\r"}.get(c)
+        return c
+
+    def letters(self) -> Known:
+        found: set[str] | None = set()
+        if self.peek() == "^":
+            found = None
+        first = True
+        while first or self.peek() != "]":
+            first = False
+            c = self.take()
+            lo = self.escaped() if c == "\\" else c
+            hi = lo
+            if self.peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                c = self.take()
+                hi = self.escaped() if c == "\\" else c
+            if found is not None and lo and hi and ord(hi) - ord(lo) < 8:
+                found |= {chr(k).lower() for k in range(ord(lo), ord(hi) + 1)}
+            else:
+                found = None
+        self.take()
+        return (found, ALWAYS) if found is not None and len(found) <= 8 else (None, ALWAYS)
+
+    def repeated(self, known: Known) -> Known:
+        m = re.compile(r"[*+?]|\{(\d*)(,?)(\d*)\}").match(self.text, self.at)
+        if not m:
+            return known
+        self.at = m.end() + (self.text[m.end() : m.end() + 1] in ("?", "+") and m.end() < len(self.text))
+        if m[0] in "*+?":
+            least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[m[0]]
+        else:
+            least = int(m[1] or 0)
+            most = int(m[3]) if m[3] else None if m[2] else least
+        exact, own = known
+        if exact is not None and own == ALWAYS and most is not None and most <= 4 and sum(len(exact) ** n for n in range(least, most + 1)) <= MOST:
+            return {"".join(p) for n in range(least, most + 1) for p in product(exact, repeat=n)}, ALWAYS
         if not least:
             return None, ALWAYS
-        repeated = {"".join(p) for p in product(exact, repeat=least)} if exact is not None and len(exact) ** least <= MOST else exact
-        return None, both(own, needs(repeated))
-    if name == "AT":
-        return {""}, ALWAYS
-    return None, ALWAYS
+        several = {"".join(p) for p in product(exact, repeat=least)} if exact is not None and len(exact) ** least <= MOST else exact
+        return None, both(own, needs(several))
+
+
+def queries_of(rules: list[Rule]) -> dict[int, Query]:
+    """The queries of the rules that have one, by the rules' places."""
+    found = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
+    return {k: q for k, q in found.items() if frozenset() not in q}
 
 
-def trigrams(rules: list[Rule]) -> list[str]:
-    return sorted({t for r in rules for q in trigram_query(r.pattern) for t in q})
+#: Letters from the frequent to the rare ones, in prose.
+FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
 
 
-def posting_bits(text: Column, grams: list[str]) -> list[Column]:
-    """The document's postings: bit k of word w is set if trigram 62 * w + k occurs, in either case."""
-    low = F.lower(text)
-    words = []
-    for at in range(0, len(grams), 62):
-        bits = F.lit(0).cast("long")
-        for k, gram in enumerate(grams[at : at + 62]):
-            bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(gram)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        words.append(bits)
-    return words
+def rarest(alternative: frozenset[str]) -> str:
+    """The trigram with the rarest letters: what is no letter is rarer."""
+    return max(alternative, key=lambda g: (sum(FREQUENT.index(c) if c in FREQUENT else 30 for c in g), g))
 
 
-def intersects(query: Query, grams: list[str], bits: list[Column]) -> Column:
-    """Whether the document is in the postings of some alternative's every trigram."""
-    at = {g: k for k, g in enumerate(grams)}
+def leads(rules: list[Rule]) -> list[str]:
+    """Trigrams of which a text has one, if it is a candidate of any indexed rule."""
+    return sorted({rarest(a) for q in queries_of(rules).values() for a in q})
+
+
+def has_any(low: Column, grams: list[str]) -> Column:
     found = F.lit(False)
-    for alternative in query:
-        masks: dict[int, int] = {}
-        for g in alternative:
-            masks[at[g] // 62] = masks.get(at[g] // 62, 0) | 1 << at[g] % 62
-        one = F.lit(True)
-        for w, mask in sorted(masks.items()):
-            one = one & (bits[w].bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        found = found | one
+    for g in grams:
+        found = found | F.contains(low, F.lit(g))
     return found
 
 
-def postings(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """The index as (trigram, doc_id) rows."""
-    low = F.lower("text")
-    held = F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in trigrams(rules)])
-    return docs.select(F.explode(F.array_compact(held)).alias("trigram"), "doc_id")
+def postings(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The index, as rows (trigram, text): the rules' trigrams, in either case, of the texts that may be candidates; texts by hash."""
+    low = docs.select(F.xxhash64(text).alias("text"), F.lower(text).alias("_low")).where(has_any(F.col("_low"), leads(rules)))
+    grams = sorted({g for q in queries_of(rules).values() for a in q for g in a})
+    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))
+    return low.select(F.explode(held).alias("trigram"), "text")
 
 
-STEP_TYPE = "array<struct<start:int,rank:int,end:int,kind:string,valid:boolean>>"
+def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(text, rules): for each text with every trigram of an alternative, a bit for each rule that has one."""
+    terms = []
+    for k, query in sorted(queries_of(rules).items()):
+        for j, alternative in enumerate(query):
+            terms += [{"trigram": g, "rule": k, "alternative": j, "bit": 1 << i, "all": (1 << len(alternative)) - 1} for i, g in enumerate(sorted(alternative))]
+    table = F.broadcast(inline_rows(index.sparkSession, terms))  # MOST alternatives of DEEP trigrams a rule at most
+    met = index.join(table, "trigram").groupBy("text", "rule", "alternative", "all").agg(F.bit_or("bit").alias("has")).where("has = all")
+    return met.groupBy("text").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """Array of (start, rank, end, kind) of the rule's matches; what stands between them gives their places."""
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    valid = (lambda m: F.length(m) >= rule.least) if not rule.group else (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least)
+#: Spans of a block, inside which places are added up.
+BLOCK = 256
+PLACE = "array<struct<start:int,end:int>>"
+
 
-    def step(state: Column, i: Column) -> Column:
-        match = F.element_at(found, i)
-        start = state["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(match)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), valid(match).alias("valid"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+def in_blocks(items: Column, block: Callable[[Column, Column], Column], total: Callable[[Column, Column], Column]) -> Column:
+    """The flattened ``block(items of a block, total of those before)``; the total starts at 0 and ``total(total, items of a block)``
+    carries it on. A fold over all items would copy its result at each."""
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(STEP_TYPE).alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step)["spans"]
-    kept = F.filter(walked, lambda s: s["valid"])
-    return F.when(F.size(found) > 0, F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    def of(whole: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda k: F.slice(whole, k * BLOCK + 1, BLOCK))
+        start = F.array(F.lit(0))
+        return let(parts, lambda p: let(F.aggregate(p, start, lambda sums, x: F.concat(sums, F.array(total(F.element_at(sums, -1), x)))), lambda sums: F.flatten(F.zip_with(p, F.slice(sums, 1, F.size(p)), block))))
+
+    return let(items, lambda x: F.when(F.size(x) > 0, of(x)))
 
 
 SPAN_TYPE = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def with_spans(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` and _spans: every rule's spans by start, then in the rules' order."""
-    grams = trigrams(rules)
-    body = F.coalesce(F.col(text), F.lit(""))
-    names = [f"_bits{w}" for w in range((len(grams) + 61) // 62)]
-    rows = docs.withColumns({"_body": body, **dict(zip(names, posting_bits(body, grams), strict=True))})
-    bits = [F.col(n) for n in names]
-    lists = []
-    for rank, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        candidate = F.rlike("_body", F.lit(rule.pattern)) if frozenset() in query else intersects(query, grams, bits)
-        lists.append(F.coalesce(F.when(candidate, spans_of(F.col("_body"), rule, rank)), F.array().cast(SPAN_TYPE)))
-    rows = rows.withColumn("_spans", F.array_sort(F.concat(*lists)))
-    return rows.drop("_body", *names)
+def spans_of(text: Column, rule: Rule, rank: int) -> Column:
+    """Array of (start, rank, end, kind) of the rule's matches, null without any; what stands between them gives their places."""
+    matches, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
+    own = (lambda m: m) if not rule.group else (lambda m: F.regexp_extract(m, rule.pattern, rule.group))
+    # The last piece between has no match after it.
+    pieces = F.transform(F.arrays_zip(matches.alias("m"), between.alias("g")), lambda z: F.struct(F.length(z["g"]).alias("g"), F.length(z["m"]).alias("m"), (F.length(own(z["m"])) >= rule.least).alias("valid")))
+    sizes = F.filter(pieces, lambda z: z["m"].isNotNull())
+
+    def block(part: Column, before: Column) -> Column:
+        def step(state: Column, z: Column) -> Column:
+            start = state["at"] + z["g"]
+            end = start + z["m"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+            return F.struct(end.alias("at"), F.when(z["valid"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        return F.aggregate(part, F.struct(before.alias("at"), F.array().cast(SPAN_TYPE).alias("spans")), step)["spans"]
+
+    return in_blocks(sizes, block, lambda before, part: before + F.aggregate(part, F.lit(0), lambda n, z: n + z["g"] + z["m"]))
+
+
+def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """_row (all columns of ``docs``), and _spans: every rule's spans in its text by start, then in the rules' order."""
+    queries = queries_of(rules)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_body"))
+    indexed = has_any(F.lower("_body"), leads(rules)) if queries else F.lit(False)
+    found = written(candidates(postings(docs.where("text is not null").select("text"), rules), rules), "secret-candidates") if queries else None
+
+    def verified(part: DataFrame, known: list[int]) -> DataFrame:
+        lists = []
+        for rank in known:
+            body, rule = F.col("_body"), rules[rank]
+            is_candidate = F.col("_rules").bitwiseAND(F.lit(1 << rank).cast("long")) != 0 if rank in queries else F.rlike(body, F.lit(rule.pattern))
+            lists.append(F.coalesce(F.when(is_candidate, spans_of(body, rule, rank)), F.array().cast(SPAN_TYPE)))
+        spans = F.array_sort(F.concat(*lists)) if lists else F.array().cast(SPAN_TYPE)
+        return part.select("_row", spans.alias("_spans"))
+
+    free = [k for k in range(len(rules)) if k not in queries]
+    if found is None:
+        return verified(rows, free)
+    met = rows.where(indexed).withColumn("text", F.xxhash64("_body")).join(found.withColumnRenamed("rules", "_rules"), "text", "left")
+    met = met.withColumn("_rules", F.coalesce("_rules", F.lit(0).cast("long")))
+    return verified(met, list(range(len(rules)))).unionByName(verified(rows.where(~indexed), free))
 
 
 def joined(spans: Column) -> Column:
@@ -234,23 +342,37 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     rows = with_spans(docs.select("doc_id", "text"), rules)
     counts = [F.size(F.filter("_spans", _is(k))).cast("long").alias(f"n_{k}") for k in base]
     own = F.filter("_spans", lambda s: s["kind"].isin(base))
-    return rows.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    return rows.select("_row.doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with each run of overlapping spans replaced by ``mark``; n_chars follows the text; clean rows stay as they are."""
-    columns = docs.columns
-    text = F.col("text")
+def struck(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping spans replaced by ``mark``."""
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        put = F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(state["out"]).alias("out"))
+    def block(part: Column, before: Column) -> Column:
+        # From where the spans before ended to where the block's last one does.
+        def piece(own: Column) -> Column:
+            def step(state: Column, s: Column) -> Column:
+                gap = F.substr(own, state["at"] - before + 1, s["start"] - state["at"])
+                put = F.concat(state["out"], gap, F.lit(mark))
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], put).otherwise(state["out"]).alias("out"))
 
-    rows = with_spans(docs, rules)
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda st: F.concat(st["out"], F.substr(text, st["at"] + 1)))
+            return F.aggregate(part, F.struct(before.alias("at"), F.lit("").alias("out")), step)["out"]
+
+        return F.array(let(F.substr(text, before + 1, furthest(before, part) - before), piece))
+
+    def furthest(before: Column, part: Column) -> Column:
+        return F.aggregate(part, before, lambda at, s: F.greatest(at, s["end"]))
+
+    tail = F.substr(text, furthest(F.lit(0), spans) + 1)
+    return F.concat(F.array_join(in_blocks(spans, block, furthest), ""), tail)
+
+
+def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with each run of overlapping spans replaced by ``mark``; n_chars follows the text; clean rows stay as they are."""
     hit = F.size("_spans") > 0
-    rows = rows.withColumn("text", F.when(hit, done).otherwise(text))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    done = F.when(hit, struck(F.col("_row.text"), F.col("_spans"), mark)).otherwise(F.col("_row.text"))
+    rows = with_spans(docs, rules).select("_row", hit.alias("_hit"), done.alias("_done"))
+    changed = {"text": F.col("_done")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_hit"), F.length("_done").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
