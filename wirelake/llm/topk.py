@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.common import written
 
-#: Vectors read for pivots; pivots at most; bounds of a page's size; queries that meet a page at once; a leaf's size.
+#: Vectors read for pivots; pivots at most; bounds of a page's size; queries that meet a copy of a page; a leaf's size.
 SAMPLE, PIVOTS, PAGE, BLOCK, LEAF = 4096, 1024, (512, 65536), 2048, 32
 
 
@@ -169,8 +169,14 @@ class MTree:
 
 
 def searched(placed: DataFrame, asked: DataFrame, space: Space, k: int) -> DataFrame:
-    """(query_id, vec_id, score): best k of each page for the queries that were sent to it."""
+    """(query_id, vec_id, score): best k of each page for the queries that were sent to it.
+
+    Pages without queries do not move; a page that more than BLOCK queries ask goes out once for each BLOCK of them.
+    """
     dim = space.dim
+    copies = written(asked.groupBy("cell", "salt").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_copies")), "topk-copies")
+    asked = asked.join(copies, ["cell", "salt"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.col("_copies")).cast("int")).drop("_copies")
+    placed = placed.join(copies, ["cell", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
 
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
@@ -210,12 +216,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
     salts, radii = {r["cell"]: math.ceil(r["n"] / page) for r in cells}, {r["cell"]: r["radius"] for r in cells}
     names = np.array(sorted(salts))
-    n_queries = rows.where(F.col("vec_id") % every == 0).count()
-    blocks = max(1, math.ceil(n_queries / BLOCK))
     salt_of = F.element_at(F.create_map(*[F.lit(x) for c in sorted(salts) for x in (int(c), salts[c])]), F.col("cell"))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt_of).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Equal ids lie apart by their vectors.
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), salt_of).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int")), "topk-queries")
+    queries = written(queries, "topk-queries")
 
     def send(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,27 +229,27 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                 norms = (q * q).sum(axis=1)
                 bound = np.maximum(0.0, Space.distances(space.query(q), shared.value[names]) - np.array([radii[c] for c in names])[None])
                 out = []
-                for i, (query, v, block, least, cell, salt) in enumerate(zip(*[pdf[c] for c in ("query_id", "v", "block", "least", "cell", "salt")], strict=True)):
+                for i, (query, v, least, cell, salt) in enumerate(zip(*[pdf[c] for c in ("query_id", "v", "least", "cell", "salt")], strict=True)):
                     if first:
                         c = int(names[bound[i].argmin()])
-                        out.append((query, v, block, -math.inf, c, int(query) // every % salts[c]))
+                        out.append((query, v, -math.inf, c, int(query) // every % salts[c]))
                         continue
                     reach = space.reach(norms[i], least)
                     for j in np.flatnonzero(bound[i] <= reach + space.slack):
                         c = int(names[j])
-                        out += [(query, v, block, least, c, s) for s in range(salts[c]) if (c, s) != (cell, salt)]
-                yield pd.DataFrame(out, columns=["query_id", "v", "block", "least", "cell", "salt"])
+                        out += [(query, v, least, c, s) for s in range(salts[c]) if (c, s) != (cell, salt)]
+                yield pd.DataFrame(out, columns=["query_id", "v", "least", "cell", "salt"])
 
         return run
 
-    schema = "query_id long, v array<long>, block int, least double, cell int, salt int"
-    start = queries.select("query_id", "v", "block", F.lit(-math.inf).alias("least"), F.lit(0).alias("cell"), F.lit(0).alias("salt"))
+    schema = "query_id long, v array<long>, least double, cell int, salt int"
+    start = queries.select("query_id", "v", F.lit(-math.inf).alias("least"), F.lit(0).alias("cell"), F.lit(0).alias("salt"))
     asked = written(start.mapInPandas(send(True), schema), "topk-asked")
     head = written(searched(placed, asked, space, k), "topk-first")
     worst = head.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").cast("double").alias("_worst"))
     again = asked.drop("least").join(worst, "query_id", "left").withColumn("least", F.when(F.col("_n") >= k, F.col("_worst")).otherwise(F.lit(-math.inf)))
     # A float of 53 bits can lie above the score: one less is safe.
-    again = again.select("query_id", "v", "block", (F.col("least") - F.greatest(F.lit(1.0), F.abs("least") * 1e-12)).alias("least"), "cell", "salt")
-    rest = searched(placed, again.mapInPandas(send(False), schema), space, k)
+    again = again.select("query_id", "v", (F.col("least") - F.greatest(F.lit(1.0), F.abs("least") * 1e-12)).alias("least"), "cell", "salt")
+    rest = searched(placed, written(again.mapInPandas(send(False), schema), "topk-again"), space, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return head.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
