@@ -5,9 +5,9 @@ streamed through it; at each word the automaton holds the longest run of words t
 in an item. Where that run is a window long (13 words; a shorter item is one window whole), the words
 of the window are hit and the items that hold it are noted.
 
-Items are collected to the driver in blocks of at most ``block_words`` words, each with an automaton of
-its own and broadcast; more items make more blocks, which a worker streams a text through in turn, so that one
-automaton is the most that a broadcast holds.
+Items pass the driver in blocks of at most ``block_words`` words, each broadcast as an automaton of its own; a worker streams a text through
+``TOGETHER`` of them at most, which it builds once and keeps. More blocks take more passes over the documents: a pass writes
+what it found of the texts that it hits (places and item ids, no texts), and the passes' findings meet by text in the end.
 
 Edge cases: a null text has no words (0 hits, not contaminated, the digest of nothing); items without words,
 null items and null item ids are no windows; items of equal text all count; very long texts are read whole;
@@ -21,17 +21,20 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import LOWER, UPPER
+from wirelake.llm.common import LOWER, UPPER, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = re.compile(WORD)
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 WINDOW = 13
+#: Words of items in a block, and blocks in a pass.
+BLOCK_WORDS, TOGETHER = 100_000, 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -158,21 +161,24 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 _AUTOMATA: dict[tuple[str, int], Automaton] = {}
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, kept_text string"
+FOUND = "array<struct<lo:int,hi:int>>"
 
 
-def judge(words: list[str], parts: list[tuple[list[tuple[int, int]], set[str]]], share: int) -> tuple:
-    spans = parts[0][0]
-    if len(parts) > 1:
-        merged: list[tuple[int, int]] = []
-        for lo, hi in sorted(s for x, _ in parts for s in x):
-            if merged and lo <= merged[-1][1]:
-                merged[-1] = merged[-1][0], max(hi, merged[-1][1])
-            else:
-                merged.append((lo, hi))
-        spans = merged
-    names = sorted(set().union(*(n for _, n in parts)))
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def judge(n_words: int, spans: list[tuple[int, int]], names: set[str], share: int) -> tuple:
+    """n_words, n_hit, n_items, items_sha256 and contaminated."""
     hit = sum(hi - lo for lo, hi in spans)
-    return spans, (len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and share * hit >= len(words))
+    return n_words, hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0 and share * hit >= n_words
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -187,49 +193,98 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def judge_udf(spark, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 500_000, cut: bool = False):
-    """A pandas UDF text -> struct of FIELDS; kept_text is filled in if ``cut``."""
-    shared, key = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_words)], uuid.uuid4().hex
+def streamed(spark, blocks: list[list[tuple[str, list[str]]]], window: int):
+    """A function of lists of words -> (spans, item ids) of each, by the blocks' automata; a worker builds them once."""
+    shared, key = [spark.sparkContext.broadcast(b) for b in blocks], uuid.uuid4().hex
+
+    def run(lists: list[list[str]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+        if not any(k == key for k, _ in _AUTOMATA):
+            _AUTOMATA.clear()
+            _AUTOMATA.update({(key, k): Automaton(b.value, window) for k, b in enumerate(shared)})
+        out = []
+        for words in lists:
+            parts = [_AUTOMATA[key, k].hits(words) for k in range(len(shared))]
+            spans = parts[0][0] if len(parts) == 1 else merged([s for x, _ in parts for s in x])
+            out.append((spans, set().union(*(n for _, n in parts))))
+        return out
+
+    return run
+
 
-    def automaton(k: int) -> Automaton:
-        if (key, k) not in _AUTOMATA:
-            if len(_AUTOMATA) >= 4:  # as many automata in memory as that
-                _AUTOMATA.clear()
-            _AUTOMATA[key, k] = Automaton(shared[k].value, window)
-        return _AUTOMATA[key, k]
+def judged(docs: DataFrame, items: DataFrame, window: int, share: int, block_words: int, cut: bool = False) -> DataFrame:
+    """_row (all columns of ``docs``) and _j, a struct of FIELDS; kept_text is filled in if ``cut``."""
+    spark = docs.sparkSession
+    blocks = item_blocks(items, block_words)
+    first = list(islice(blocks, TOGETHER))
+    more = list(islice(blocks, 1))
+    rows = docs.select(F.struct("*").alias("_row"))
+    if not more:
+        run = streamed(spark, first, window)
+
+        @F.pandas_udf(FIELDS)
+        def judge_texts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in texts:
+                lists = [words_of(x) for x in batch]
+                out = []
+                for text, words, (spans, names) in zip(batch, lists, run(lists), strict=True):
+                    out.append((*judge(len(words), spans, names, share), without(text, spans) if cut and text is not None else None))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in FIELDS.split(", ")])
+
+        return rows.select("_row", judge_texts(F.col("_row.text")).alias("_j"))
+
+    # In passes: equal texts are found equal things, so findings are of texts, named by two hashes.
+    name = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    texts = docs.select("text", name.alias("_name")).where("text is not null")
+    found, together = None, first
+    while together:
+        own = written(hits_of(texts, streamed(spark, together, window)), "decontam-hits")
+        found = own if found is None else found.unionByName(own)
+        together = [*more, *islice(blocks, TOGETHER - len(more))]
+        more = []
+    # Of one text: a row a pass and item at most, which the passes' number and the items bound.
+    hits = written(found.groupBy("_name").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.flatten(F.collect_set("names")).alias("_names")), "decontam-found")
 
     @F.pandas_udf(FIELDS)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            lists = [words_of(x) for x in batch]
-            found: list[list] = [[] for _ in lists]
-            for k in range(len(shared)):
-                hits = automaton(k).hits
-                for own, words in zip(found, lists, strict=True):
-                    own.append(hits(words))
-            rows = []
-            for text, words, parts in zip(batch, lists, found, strict=True):
-                spans, row = judge(words, parts or [([], set())], share)
-                rows.append((*row, without(text, spans) if cut and text is not None else None))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")])
+    def judge_found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts_, all_spans, all_names in batches:
+            out = []
+            for text, spans, names in zip(texts_, all_spans, all_names, strict=True):
+                spans = merged([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []
+                names = set(names) if names is not None else set()
+                out.append((*judge(len(words_of(text)), spans, names, share), without(text, spans) if cut and text is not None else None))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FIELDS.split(", ")])
 
-    return run
+    named = rows.withColumn("_name", F.struct(F.xxhash64("_row.text").alias("a"), F.xxhash64(F.lit(1), "_row.text").alias("b")))
+    return named.join(hits, "_name", "left").select("_row", judge_found("_row.text", "_spans", "_names").alias("_j"))
+
+
+def hits_of(texts: DataFrame, run) -> DataFrame:
+    """_name, spans and names of the texts that the blocks hit; equal texts once."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, (spans, names) in zip(pdf["_name"], run([words_of(x) for x in pdf["text"]]), strict=True):
+                if spans:
+                    out.append((name, [{"lo": lo, "hi": hi} for lo, hi in spans], sorted(names)))
+            yield pd.DataFrame(out, columns=["_name", "spans", "names"])
+
+    return texts.mapInPandas(found, f"_name struct<a:long,b:long>, spans {FOUND}, names array<string>").dropDuplicates(["_name"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``; no shuffle of texts."""
-    run = judge_udf(docs.sparkSession, items, window, share, block_words)
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``; no shuffle of texts where the items fit
+    a pass."""
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return docs.select("doc_id", run(F.col("text")).alias("_j")).select("doc_id", *[F.col(f"_j.{n}").alias(n) for n in names])
+    return judged(docs.select("doc_id", "text"), items, window, share, block_words).select("_row.doc_id", *[F.col(f"_j.{n}").alias(n) for n in names])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the contaminated rows; all columns, texts below the limit untouched."""
-    run = judge_udf(docs.sparkSession, items, window, share, block_words)
-    return docs.where(~run(F.col("text"))["contaminated"])
+    return judged(docs, items, window, share, block_words).where("not _j.contaminated").select("_row.*")
 
 
-def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 500_000) -> DataFrame:
+def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, contaminated and the text without its hit spans."""
-    run = judge_udf(docs.sparkSession, items, window, share, block_words, cut=True)
-    return docs.select("doc_id", run(F.col("text")).alias("_j")).select("doc_id", F.col("_j.contaminated").alias("contaminated"), F.col("_j.kept_text").alias("text"))
+    done = judged(docs.select("doc_id", "text"), items, window, share, block_words, cut=True)
+    return done.select("_row.doc_id", F.col("_j.contaminated").alias("contaminated"), F.col("_j.kept_text").alias("text"))
