@@ -73,14 +73,14 @@ def _template(name: str, text: str) -> str:
     run = min(SHINGLE, len(w))
     size = window_class(len(w))
     grams = sorted({" ".join(w[i : i + run]) for i in range(len(w) - run + 1)})
-    return "\n  UNION ALL ".join(f"SELECT '{name}' AS license, {run} AS run, {size - run + 1} AS span, {stride(size)} AS step, {len(grams)} AS n, '{g}' AS gram" for g in grams)
+    return ",\n  ".join(f"('{name}', {run}, {size - run + 1}, {stride(size)}, {len(grams)}, '{g}')" for g in grams)
 
 
-_TEMPLATES = "\n  UNION ALL ".join(_template(k, v) for k, v in TEMPLATES.items())
+_TEMPLATES = ",\n  ".join(_template(k, v) for k, v in TEMPLATES.items())
 
 #: Without MinHash: every window is held against every template with which it shares a shingle.
 LICENSES = f"""
-WITH grams AS ({_TEMPLATES}),
+WITH grams(license, run, span, step, n, gram) AS (VALUES {_TEMPLATES}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+'), []) AS w FROM documents),
 runs AS (SELECT DISTINCT run FROM grams),
 places AS (SELECT r, run, i, array_to_string(w[i:i + run - 1], ' ') AS gram FROM (SELECT r, w, run, unnest(range(1, greatest(len(w) - run + 1, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM docs, runs)),
@@ -110,7 +110,8 @@ TOP = """
 WITH rows AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+asked AS (SELECT vec_id, min(v) AS v FROM rows WHERE vec_id % 50 = 0 GROUP BY vec_id),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM asked q JOIN rows c ON q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
