@@ -70,6 +70,51 @@ def test_any_markup_is_read(text):
     html_extract.main_text(text)
 
 
+
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 5, 30, 90]), max_size=14), st.integers(1, 4), st.sampled_from([1, 40, 80]))
+def test_distribution_by_brute_force(weights, window, surge):
+    """Text starts at a weighing line whose window reaches the surge, and ends before the next window that sums to nothing."""
+    total = lambda i: sum(weights[i : i + window])
+    kept, inside = [], False
+    for i in range(len(weights)):
+        if inside and total(i) == 0:
+            inside = False
+        elif not inside and weights[i] and total(i) >= surge:
+            inside = True
+        if inside:
+            kept.append(i)
+    assert html_extract.between_surge_and_dive(weights, window, surge) == kept
+
+
+def test_windows_decide():
+    """A line of links among paragraphs is text, a run of them a menu; without a window of several lines all of them would go."""
+    link, p = "<p><a href=x>a link alone</a></p>", "<p>Some words of an article.</p>"
+    page = f"<article><h1>Head</h1>{p}{link}{p}{link * 4}{p}</article>"
+    lines = html_extract.blocks(page)
+    assert html_extract.main_text(page).split("\n") == ["Head", "Some words of an article.", "a link alone", "Some words of an article.", "Some words of an article."]
+    assert html_extract.kept_text(lines, window=1) != html_extract.kept_text(lines)
+    plain = "<p>short</p>" + "".join(f"<p>{'long words stand here ' * 5}{k}</p>" for k in range(3)) + link * 3 + "<p>tail</p>"
+    assert html_extract.main_text(plain).count("long words") == 15 and "tail" not in html_extract.main_text(plain)
+
+
+def test_names_inside_an_article():
+    page = "<div class='legal-notice'>out</div><article><h1>H</h1><p class='legal-notice'>Law</p><div class='side-effects'>Pain</div><ul class='toc-list'><li>One</li></ul><div class='share-bar'>tweet</div><div class='notice'>cookies</div></article>"
+    assert html_extract.main_text(page) == "H\nLaw\nPain\nOne"
+
+
+def test_deep_and_long_pages():
+    import time
+
+    start = time.perf_counter()
+    assert html_extract.main_text("<div>" * 100_000 + "text" + "</div>" * 100_000) == "text"
+    assert html_extract.main_text("<span class=x>" * 20_000 + "text<p>more" + "</span>" * 20_000) == "text\nmore"
+    assert len(html_extract.main_text("<article>" + "<p>words of it</p>" * 50_000).split("\n")) == 50_000
+    assert time.perf_counter() - start < 20
+
+
 def test_pages_of_the_tables(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id")
     got = queries.op1_html_extract(spark, SF).toPandas()
@@ -87,20 +132,55 @@ def test_pages_of_the_tables(spark):
 # 2
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=6), st.text("abcd", min_size=1, max_size=12))
-def test_phrases_are_greedy_longest_matches(words, text):
+def cut(text, runs):
+    """Phrases of a stretch by brute force: the longest prefix that a run holds, again and again."""
     n, k = 0, 0
     while k < len(text):
-        size = max((m for m in range(1, len(text) - k + 1) if any(text[k : k + m] in w for w in words)), default=1)
+        size = max((m for m in range(1, len(text) - k + 1) if any(text[k : k + m] in r for r in runs)), default=1)
         n, k = n + 1, k + size
-    assert lang_id.SuffixAutomaton(words).phrases(text) == n
+    return n
 
 
-def test_long_runs_of_letters_are_learnt():
-    run = "".join(chr(0x4E00 + k) for k in range(130))
-    got = lang_id.within(lang_id.Counter({run: 1, "ab": 2}), 1000)
-    assert got[0] == " ab " and "".join(got[1:]) == f" {run} " and lang_id.within(lang_id.Counter({run: 1}), 50) == [f" {run[:47]}"]
+def brute_language(text, runs):
+    """(language, score) of a text, from the runs of each language."""
+    import math
+
+    normal = lang_id.normal(text)
+    costs = {}
+    for lang, own in runs.items():
+        n = sum(cut(normal[i : i + lang_id.STRETCH], own) for i in range(0, len(normal), lang_id.STRETCH))
+        costs[lang] = n * math.log2(2 + sum(map(len, own)))
+    best = min(sorted(costs), key=costs.get)
+    rest = min((c for x, c in costs.items() if x != best), default=2 * costs[best])
+    return best, rest / (rest + costs[best])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=9).map(lambda x: bytes(97 + b % 3 for b in x)), min_size=1, max_size=6), st.lists(st.text("abcd", min_size=1, max_size=12), min_size=1, max_size=5))
+def test_phrases_are_greedy_longest_matches(runs, texts):
+    texts = sorted((t.encode() for t in texts), key=lambda t: -len(t))
+    sizes = np.array([len(t) for t in texts])
+    lanes = np.zeros((sizes[0], len(texts)), np.uint8)
+    for k, t in enumerate(texts):
+        lanes[: len(t), k] = list(t)
+    assert lang_id.SuffixAutomaton(runs).phrases(lanes, sizes).tolist() == [cut(t, runs) for t in texts]
+
+
+def test_languages_by_brute_force(monkeypatch):
+    """Language and score, phrases running across words, stretches and batches of any size."""
+    rng = Random(8)
+    runs = {"x": [b" the cat sat on the mat ", b" the dog "], "y": [" le chat dort là ".encode(), b" un chien "], "z": [" \u732b\u304c\u5bdd\u308b ".encode()]}
+    words = ["the", "cat", "chat", "l\u00e0", "\u732b", "dog", "dort", "on", "qq", "42", "Mat"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["the cat sat on the mat", "x" * 70]
+    model = lang_id.Model(runs)
+    for stretch, together in ((1024, 1 << 20), (7, 40)):
+        monkeypatch.setattr(lang_id, "STRETCH", stretch)
+        monkeypatch.setattr(lang_id, "TOGETHER", together)
+        got = model.predict([None, *texts])
+        assert got[0] == ("und", 0.0)
+        for (lang, score), (want, value) in zip(got[1:], [brute_language(t, runs) for t in texts], strict=True):
+            assert lang == want and abs(score - value) < 1e-9
+    assert lang_id.Model({"b": [b" aa "], "a": [b" aa "]}).predict(["aa"]) == [("a", 0.5)]
 
 
 def test_languages(spark):
@@ -111,6 +191,8 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in odd.where("doc_id in (0, 1, 2)").collect()} == {"und"} and odd.count() == len(ODD)
     assert lang_id.identify(docs_of(spark, ODD).limit(0)).count() == 0
     assert lang_id.identify(docs_of(spark, ["x"]).withColumn("lang", F.lit(None).cast("string"))).first()["lang_pred"] == "und"
+    numerals = lang_id.identify(docs_of(spark, ["\u00bd \u00b2 \u2167", "ab cd", "12", "\u01c5"]).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id"))))
+    assert sorted((str(r["doc_id"]), r["lang_pred"], r["held_out"]) for r in numerals.collect()) == [("0", "und", False), ("2", "und", False), ("3", "en", False), ("None", "en", None)]
 
 
 # 3
@@ -151,7 +233,36 @@ def test_redaction(spark):
     got = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
     assert got[0]["text"] == 'x [REDACTED]" y [REDACTED] é' and got[0]["n_chars"] == len(got[0]["text"])
     assert got[1]["text"] == "clean" and got[2]["text"] is None and secret_scan.redact(df).columns == df.columns
-    assert secret_scan.postings(df).where("trigram = 'tok'").count() == 1
+    index = secret_scan.postings(df)
+    assert index.where("trigram = 'tok'").count() == 1 and secret_scan.candidates(index).count() == 1
+    odd = df.withColumns({c: F.lit("mine") for c in ("_body", "_spans", "_bits0", "_rules", "_row", "rules")})
+    again = secret_scan.redact(odd)
+    assert again.columns == odd.columns and {r["_body"] + r["_spans"] + r["_row"] + r["rules"] for r in again.collect()} == {"mine" * 4}
+    assert {r["doc_id"]: r["text"] for r in again.collect()} == {k: r["text"] for k, r in got.items()}
+
+
+def test_redaction_by_brute_force(spark):
+    """Runs of overlapping spans, more of them than a block, with and without text between."""
+    rng = Random(9)
+    parts = ["0123456789abcdef" * 2, " ", "é\N{PILE OF POO}", "token=", "AKIA" + "B" * 16, "-----BEGIN RSA PRIVATE KEY-----", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in [5] * 40 + [40] * 10 + [1500]]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs_of(spark, texts)).collect()}
+    for r in secret_scan.redact(docs_of(spark, texts)).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for lo, hi in (tuple(map(int, x.split(":")[1:])) for x in spans[r["doc_id"]].split(",") if x):
+            out, at = (out + text[at:lo] + "[REDACTED]" if lo >= at else out), max(at, hi)
+        assert r["text"] == out + text[at:]
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    df = docs_of(spark, ["0123456789abcdef01234567 " * 40_000])
+    start = time.perf_counter()
+    row = secret_scan.scan(df).first()
+    assert row["n_hex"] == 40_000 and row["spans"].endswith("hex:999975:999999")
+    assert len(secret_scan.redact(df).first()["text"]) == 40_000 * 11
+    assert time.perf_counter() - start < 120
 
 
 # 4
@@ -168,6 +279,68 @@ def test_quality(spark):
     assert quality.keep_quality(docs_of(spark, ODD), labels.limit(0)).columns == docs_of(spark, ODD).columns
 
 
+def brute_train(texts, labels, buckets, dim, epochs, rate, seed):
+    """The same steps of gradient descent, with dictionaries and loops: a text's probability of label 1 as a function."""
+    import math
+    import zlib
+
+    def weights(text):
+        words = text.split()
+        if not words:
+            return {}
+        names = [n for w in words for n in [f"<{w}>>"] + [f"<{w}>"[i : i + k] for k in (3, 4) for i in range(len(w) + 3 - k)]]
+        out = {}
+        for name in names:
+            b = zlib.crc32(name.encode()) % buckets
+            out[b] = out.get(b, 0.0) + (1 - quality.SHAPE) / len(names)
+        rows = [(b, x) for b, x in out.items()]
+        again = sum(x == y for x, y in zip(words, words[1:], strict=False))
+        shape = f"\nlength {len(words).bit_length()}", f"\nagain {10 * again // len(words)}", f"\ndistinct {10 * len(set(words)) // len(words)}"
+        return rows + [(zlib.crc32(x.encode()) % buckets, quality.SHAPE / 3) for x in shape]
+
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).tolist()
+    layer, bias = [[0.0, 0.0] for _ in range(dim)], [0.0, 0.0]
+    hidden_of = lambda own: [sum(x * vectors[b][d] for b, x in own) for d in range(dim)]
+    scores_of = lambda h: [sum(h[d] * layer[d][c] for d in range(dim)) + bias[c] for c in (0, 1)]
+    docs, done = [weights(t) for t in texts], 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(docs)):
+            now = rate * (1 - done / (epochs * len(docs)))
+            done += 1
+            h = hidden_of(docs[k])
+            z = scores_of(h)
+            top = [math.exp(x - max(z)) for x in z]
+            off = [x / sum(top) - (c == labels[k]) for c, x in enumerate(top)]
+            back = [layer[d][0] * off[0] + layer[d][1] * off[1] for d in range(dim)]
+            for d in range(dim):
+                for c in (0, 1):
+                    layer[d][c] -= now * h[d] * off[c]
+            bias = [bias[c] - now * off[c] for c in (0, 1)]
+            before = {b: list(vectors[b]) for b, _ in docs[k]}
+            for b, x in docs[k]:
+                share = min(1.0, x * len(docs[k]))
+                vectors[b] = [before[b][d] - now * share * back[d] for d in range(dim)]
+
+    def score(text):
+        z = scores_of(hidden_of(weights(text)))
+        return 1 / (1 + math.exp(z[0] - z[1]))
+
+    return score
+
+
+def test_training_and_scores_by_brute_force():
+    rng = Random(7)
+    good, bad = ["river", "stone", "meadow", "quiet"], ["buy", "now", "click", "free"]
+    texts = [" ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randrange(2, 12))) for k in range(24)]
+    marks = [k % 2 for k in range(24)]
+    model = quality.train(texts, marks, buckets=4096, dim=4, epochs=2, seed=5)
+    score = brute_train(texts, marks, 4096, 4, 2, 0.5, 5)
+    for text in [*texts, "river buy unknown", "one"]:
+        assert abs(model.score(text) - score(text)) < 1e-6
+    assert 0 < model.score("") < 1 and quality.train(["a", "b"], [1, 1]).score("c") == pytest.approx(0.999)
+
+
 # 5
 
 
@@ -193,6 +366,31 @@ def test_top_k_by_brute_force(spark):
     assert topk.top_k(spark.createDataFrame(rows[2200:2201], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_copied_pages(spark, duck, monkeypatch):
+    """Ids that repeat, queries' too; scores beyond 53 bits; pages that more queries ask than a copy of them takes."""
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    rows = [(int(k % 400), [float(v) for v in rng.normal(size=4)]) for k in range(900)]
+    rows += [(50, [float(2**22), 1.0, 1.0, 1.0]), (1001, [float(2**22), 2.0, 1.0, 1.0]), (1002, [float(2**22), 2.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    import pyarrow as pa
+
+    c = duckdb.connect()
+    c.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": [r[1] for r in rows]}))
+    small = [r for r in rows if r[1][0] < 2**20]
+    got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    least = {}
+    for i, v in rows:
+        if i % 50 == 0:
+            least[i] = min(least.get(i, [float("inf")]), [int(np.floor(256 * x)) for x in v])
+    for q, v in least.items():
+        found = sorted((-sum(a * int(np.floor(256 * b)) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:5]
+        assert [(r[2], r[3]) for r in got if r[0] == q] == [(i, -s) for s, i in found]
+    c.register("embeddings", pa.table({"vec_id": [r[0] for r in small], "embedding": [r[1] for r in small]}))
+    want = sorted(c.execute(f"select query_id, rank, vec_id, score from ({ORACLE['op5_topk']})").fetchall())
+    assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(small, df.schema)).collect()) == want
+
+
 # 6
 
 
@@ -298,8 +496,10 @@ def jaccards(texts, k):
     return [len(s & sets[k]) / len(s | sets[k]) for s in sets]
 
 
-def test_near_duplicates_of_a_hub(spark):
-    """Depths so few that nodes are large at the last, as they are at the usual ones with thousands of copies."""
+def test_near_duplicates_of_a_hub(spark, monkeypatch):
+    """Depths so few, and nodes compared so small, that they are large at the last, as they are at the usual ones with many thousands."""
+    monkeypatch.setattr(near_dedup, "SMALL", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK", 24)
     n = 300
     texts = hub_texts(n)
     assert min(jaccards(texts, n // 2)) >= 0.85 and sum(x >= 0.85 for x in jaccards(texts, 0)) <= 10
@@ -307,6 +507,53 @@ def test_near_duplicates_of_a_hub(spark):
     assert [tuple(r) for r in found] == [(0, n)]
 
 
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    """Copies of one text at similarities around the threshold, more than a node holds, against exact similarities."""
+    rng = Random(11)
+    base = [f"w{k}" for k in range(170)]
+    texts = []
+    for _ in range(1500):
+        copy = list(base)
+        for j in rng.sample(range(170), rng.choice([1, 2, 3, 4, 5])):
+            copy[j] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(copy))
+    sets = [frozenset(zip(*[w[i:] for i in range(5)], strict=False)) for w in map(str.split, texts)]
+    grams = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(grams)), np.float32)
+    for k, own in enumerate(sets):
+        held[k, [grams[g] for g in own]] = 1
+    common, size = held @ held.T, held.sum(1)
+    linked = 100 * common >= 85 * (size[:, None] + size[None] - common)
+    name = np.arange(len(texts))
+    while True:
+        new = np.where(linked, name[None], len(texts)).min(axis=1)
+        if (new == name).all():
+            break
+        name = new
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == name.tolist() and 1 < len(set(name)) < len(texts)
+    monkeypatch.setattr(near_dedup, "SMALL", 32)  # now deeper level by level
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts[:700])).collect()}
+    name = np.arange(700)
+    while not (np.where(linked[:700, :700], name[None], 700).min(axis=1) == name).all():
+        name = np.where(linked[:700, :700], name[None], 700).min(axis=1)
+    assert np.mean([got[k] == name[k] for k in range(700)]) > 0.99
+
+
+def test_estimates_by_brute_force():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 32, 3000, dtype=np.uint64)).astype(np.uint32)
+    whole = [np.sort(rng.choice(pool, n, replace=False)) for n in (5, 100, 255, 256, 700, 2500, 2500)]
+    similarity, _ = near_dedup.estimates([x[: near_dedup.SMALLEST] for x in whole])
+    for i, a in enumerate(whole):
+        for j, b in enumerate(whole):
+            if i == j:
+                continue
+            ends = [x[near_dedup.SMALLEST - 1] for x in (a, b) if len(x) >= near_dedup.SMALLEST]
+            u, v = ({*x[x <= min(ends, default=x.max(initial=0))].tolist()} for x in (a, b))
+            assert abs(similarity[i, j] - len(u & v) / len(u | v)) < 1e-6
+
+
 def test_keep_one_and_repeated_rows(spark):
     df = docs_of(spark, ["a b c d e f", "a b c d e f", None, "z"])
     df = df.union(df.where("doc_id in (0, 2)")).union(spark.createDataFrame([(None, "z", None, None, None, None, None)], DOCS))
@@ -325,6 +572,7 @@ def test_urls(spark):
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[4] == ("net", "/de/8", "net/de/", "block")
     assert got[5][2:] == ("example.net/de/8", "block") and got[6][2] is None and got[7][2] == "com/en/" and got[8][0] == "b:" and got[9][2] is None and got[10][1:3] == ("", None) and got[11][2] == "org/es/"
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df.union(df), broadcast_rows=0).collect()} == got
     assert url_filter.judge_urls(df.limit(0)).count() == 0 and {r["verdict"] for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
 
 
@@ -359,6 +607,11 @@ def test_contamination_blocks_and_cuts(spark):
     want = [tuple(r) for r in decontam.contamination(df, items).orderBy("doc_id").collect()]
     assert want[0][1:4] == (5, 3, 1) and want[0][5] and want[1][1:4] == (414, 14, 1) and not want[1][5] and want[3][1:4] == (0, 0, 0)
     assert [tuple(r) for r in decontam.contamination(df, items, block_words=4).orderBy("doc_id").collect()] == want
+    many = items.union(spark.createDataFrame([(100 + k, f"v{k} u{k} t{k} s{k}") for k in range(30)], "item_id long, text string"))
+    both = docs_of(spark, [*texts, "v3 u3 t3 s3 v3 u3 t3 s3 v29 u29 t29 s29 a b c", texts[0]])
+    whole = sorted(map(str, decontam.contamination(both, many).collect()))
+    assert sorted(map(str, decontam.contamination(both, many, block_words=4).collect())) == whole  # more than four blocks: in passes
+    assert sorted(map(str, decontam.cut_spans(both, many, block_words=4).collect())) == sorted(map(str, decontam.cut_spans(both, many).collect()))
     assert decontam.cut_spans(df, items).where("doc_id = 0").first()["text"] == "x  y"
     assert decontam.decontaminate(df, items).where("doc_id = 0").count() == 0 and decontam.decontaminate(df, items).columns == df.columns
     assert decontam.contamination(df, items.limit(0)).where("n_hit > 0").count() == 0
@@ -377,6 +630,14 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_in_long_texts(spark):
+    """Across segments, at every place against one, and in a dense text of a million words."""
+    mit = license_scan.TEMPLATES["mit-whole"]
+    texts = ["w " * n + mit + " v" * 3000 for n in (0, 1, license_scan.SEGMENT - 160, license_scan.SEGMENT - 100, license_scan.SEGMENT - 1, license_scan.SEGMENT, 3 * license_scan.SEGMENT - 37)] + ["license " * 1_000_000]
+    got = {r["doc_id"]: (r["licenses"], r["score"]) for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert {got[k] for k in range(len(texts) - 1)} == {("mit-permission,mit-whole", 1.0)} and got[len(texts) - 1] == ("", 0.0)
+
+
 def test_anchors_of_a_template_of_five_shingles():
     """A match of exactly 4/5 can lack the shingle of the longest word: the next is an anchor too."""
     assert license_scan.anchors({"x": "longestword bb cc dd ee ffff gg hh ii"}) == ["ffff", "longestword"]
@@ -410,7 +671,7 @@ def test_pipeline_stages(spark):
             assert decontam.contamination(lost, items).where("not contaminated").count() == 0
         if name == "near_dedup":
             ids = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
-            want, _ = components([r["text"] for r in docs.orderBy("doc_id").collect()])
+            want, _ = components([r["text"] for r in docs.orderBy("doc_id").collect()], 80)
             assert {r["doc_id"] for r in after.collect()} == {ids[k] for k in set(want)}
         docs = after
     mixed = p.mixing_stage(spark, docs, SF)
