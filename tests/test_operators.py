@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from random import Random
 
 import pytest
 from frames import EXAMPLE, client_hello, dns, pcap, tcp, udp
@@ -11,7 +12,7 @@ from wirelake.errors import StoreError, WirelakeError
 from wirelake.operators import correlate, enrich, evidence, flows, retention
 from wirelake.operators.plugins import Registry
 from wirelake.plans import pipeline, policy
-from wirelake.sources import feeds
+from wirelake.sources import collector, feeds, netflow
 from wirelake.sources import pcap as P
 from wirelake.sources.store import Store, foreign, hot_journal, with_hot
 from wirelake.streaming import live
@@ -164,6 +165,48 @@ def test_changes_and_gate(spark):
     assert enrich.notice_gate(many, ["flow_id"]).where("passed").count() == 100
 
 
+def test_gate_by_brute_force(spark):
+    """Keys with null, ties, repeated rows; refusals that begin no quiet time, round after round."""
+    rng = Random(5)
+    rows = [(f"e{k % 55}", rng.choice(["a", "b", "c", None]), rng.randrange(12_000)) for k in range(90)]
+    df = spark.createDataFrame(rows, "event_id string, topic string, timestamp_ms long")
+    for quiet, most in ((1500, 1), (400, 2), (2500, 1)):
+        got = enrich.notice_gate(df, ["topic"], quiet_ms=quiet, per_second=most).collect()
+        last, used, passed = {}, {}, []
+        for e, topic, at in sorted(((r["event_id"], r["topic"], r["timestamp_ms"]) for r in got), key=lambda r: (r[2], r[0])):
+            ok = at - last.get(topic, -10**9) >= quiet and used.get(at // 1000, 0) < most
+            if ok:
+                last[topic], used[at // 1000] = at, used.get(at // 1000, 0) + 1
+            passed.append((at, ok))
+        assert len(got) == 90 and sorted((r["timestamp_ms"], r["passed"]) for r in got) == sorted(passed)
+
+
+def test_collector_reads_datagrams(spark, tmp_path):
+    """A port that a stream listens on; what it has received comes to the decoder, once."""
+    import socket
+    import time
+
+    collector.register(spark)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as probe:
+        probe.bind(("127.0.0.1", 0))
+        port = probe.getsockname()[1]
+    stream = spark.readStream.format("udp_exports").option("host", "127.0.0.1").option("port", str(port)).option("journal", str(tmp_path / "j")).load()
+    got = []
+    q = stream.writeStream.foreachBatch(lambda df, _: got.extend(netflow.decode_v5_datagrams(df).collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    head = bytes.fromhex("00050001000003E8655400000000000000000000" + "00000000")
+    record = bytes.fromhex("0A000001" + "AC000001" + "00000000" + "00000000" + "00000005" + "00000200" + "000001F4" + "00000384" + "07D0" + "01BB" + "0018" + "0600" + "0000000000000000")
+    try:
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+            for _ in range(100):
+                out.sendto(head + record, ("127.0.0.1", port))
+                time.sleep(0.5)
+                if len(got) >= 3:
+                    break
+    finally:
+        q.stop()
+    assert len(got) >= 3 and {(r["kind"], r["src_ip"], r["packets"], r["bytes"]) for r in got} == {("flow.export", "10.0.0.1", 5, 512)} and got[0]["exporter"].startswith("127.0.0.1:")
+
+
 def test_policy_effects_and_counters(spark):
     program = policy.parse('on packet where bytes > 1 { notice(severity: high, message: m); metric(name: n, value: 2); }')
     events = obs(spark, [{"bytes": b, "timestamp_ms": k, "flow_id": "f"} for k, b in enumerate((1, 2, 3))])

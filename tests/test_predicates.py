@@ -87,6 +87,25 @@ def test_scalars(spark):
     assert tuple(r) == (-1, None, "S.", "none", "01:02:03.004", "a.test", None, "http://example.test/x?y", None, "02:00:ff", None, "1")
 
 
+URLS = {
+    "http://a.test/x/../y": "http://a.test/y", "http://a.test/..": "http://a.test/", "http://a.test/x/%2e%2E/y/.": "http://a.test/y/", " https:a.test\n": "https://a.test/", "http:///a.test//x//": "http://a.test//x//", "http://@a.test/": "http://a.test/",
+    "http://1.2.3/": "http://1.2.0.3/", "http://0x7f.1/": "http://127.0.0.1/", "http://010.1/": "http://8.0.0.1/", "http://256.1.1.1/": None, "http://4294967295/": "http://255.255.255.255/", "http://4294967296/": None, "http://a.1/": None, "http://1.a/": "http://1.a/",
+    "http://[1:0:0:2:0:0:0:3]/": "http://[1:0:0:2::3]/", "http://[0:0:0:0:0:0:0:0]/": "http://[::]/", "http://[1::2::3]/": None, "http://h.test:65535/": "http://h.test:65535/", "http://h.test:65536/": None, "http://h.test:x/": None, "http://a b/": None, "http://": None, "x://h/": None, "h": None,
+    "http://h.test/\N{PILE OF POO}?\u00fc'": "http://h.test/%F0%9F%92%A9?%C3%BC%27", "http://h.test/{a}`b`": "http://h.test/%7Ba%7D%60b%60", "http://ex%41mple.test/": "http://example.test/",
+}
+
+
+def test_urls_as_browsers_write_them(spark):
+    got = spark.createDataFrame([(u,) for u in URLS], "u string").select("u", net.url(F.col("u")).alias("n")).collect()
+    assert {r["u"]: r["n"] for r in got} == URLS
+
+
+def test_scalars_that_look_like_containers(spark):
+    rows = spark.createDataFrame([('{"h":"[x]","o":{"a":1},"l":[1],"t":" {","z":null,"b":true}',), ("bad",), ('"[x"',)], "p string")
+    have = rows.select(*[net.json_scalar(F.col("p"), p).alias(p[-1]) for p in ("$.h", "$.o", "$.l", "$.t", "$.z", "$.b", "$")]).collect()
+    assert [tuple(r) for r in have] == [("[x]", None, None, " {", None, "true", None), (None,) * 7, (*(None,) * 6, "[x")]
+
+
 def test_pipeline_errors_and_traps(spark):
     df = spark.createDataFrame([("e", "10.0.0.1", 1, 5, 60_000, "{}")], "event_id string, src_ip string, packets bigint, bytes bigint, timestamp_ms bigint, payload string")
     for bad in ("* | nope", "* | sum src.ip as x", "* | count | window 1m", "* | window 1m | window 1m", "* | window 2d", "* | top 0 src.ip", "* | sort sensors", "* | select src.ip | sort bytes", "* | sum bytes as 1x", "|".join(["*"] * 9)):

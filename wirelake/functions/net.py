@@ -81,28 +81,117 @@ def ms_of_ns(ns: Column) -> Column:
     return F.when((ns >= -limit) & (ns <= limit), floored)
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def domain(text: Column) -> Column:
-    """A normal domain name: lower case, no dots at the end; null if a label is empty or too long."""
-    name = F.lower(F.regexp_replace(text, r"\.+$", ""))
-    sound = (F.length(name) <= 253) & name.rlike(r"^[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?(?:\.[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?)*$")
-    return F.when(sound, name)
+    """A normal domain name: ASCII letters in lower case, no dots at the end; null if a label is empty, too long, or has other
+    characters than ASCII letters, digits, hyphens and underscores."""
+    name = F.translate(F.regexp_replace(text, r"\.+$", ""), UPPER, LOWER)
+    return F.when((F.length(name) <= 253) & name.rlike(r"^[a-z0-9_-]{1,63}(?:\.[a-z0-9_-]{1,63})*$"), name)
+
+
+#: What the URL standard has percent-encoded in paths and in queries of http(s), and what no host may hold.
+IN_PATH, IN_QUERY, NO_HOST = r"[^\x21-\x7E]|[\"<>`#?{}]", r"[^\x21-\x7E]|[\"#<>']", r"[\x00-\x20#/:<>?@\[\\\]^|%\x7F]|[^\x00-\x7F]"
+
+
+def _encoded(text: Column, these: str) -> Column:
+    """Characters of the pattern as the bytes of their UTF-8, percent-encoded."""
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(these), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(text.rlike(these), F.array_join(letters, "")).otherwise(text)
+
+
+def _path(text: Column) -> Column:
+    """The path without dot segments, percent-encoded; backslashes are slashes."""
+    parts = F.split(F.regexp_replace(F.translate(text, "\\", "/"), "^/", ""), "/")
+
+    def walk(parts: Column) -> Column:
+        kinds = F.transform(parts, lambda p, i: F.struct(p.alias("p"), F.regexp_replace(F.lower(p), "%2e", ".").alias("d"), (i == F.size(parts) - 1).alias("last")))
+
+        def step(done: Column, x: Column) -> Column:
+            end = F.when(x["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+            up = F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+            return F.when(x["d"] == "..", F.concat(up, end)).when(x["d"] == ".", F.concat(done, end)).otherwise(F.concat(done, F.array(x["p"])))
+
+        return F.aggregate(kinds, F.array().cast("array<string>"), step)
+
+    dotted = parts.cast("string").rlike(r"(?i)(?:^\[|, )(?:\.|%2e)")
+    walked = F.when(dotted, once(parts, walk)).otherwise(parts)
+    return _encoded(F.concat(F.lit("/"), F.array_join(walked, "/")), IN_PATH)
+
+
+def _v4_host(host: Column) -> Column:
+    """The dotted address of a host whose last label is a number (decimal, octal or hexadecimal); null if it is none."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    number = lambda p: F.when(p.rlike(r"^0x[0-9a-f]{0,12}$"), F.coalesce(F.conv(F.nullif(F.substr(p, F.lit(3)), F.lit("")), 16, 10), F.lit("0"))).when(p.rlike(r"^0[0-7]{1,15}$"), F.conv(p, 8, 10)).when(p.rlike(r"^(?:0|[1-9][0-9]{0,11})$"), p).try_cast("bigint")
+
+    def whole(numbers: Column) -> Column:
+        n = F.size(numbers)
+        last = F.element_at(numbers, -1)
+        lead = F.slice(numbers, 1, n - 1)
+        sound = (n <= 4) & ~F.exists(numbers, lambda x: x.isNull()) & ~F.exists(lead, lambda x: x > 255) & (last < F.pow(F.lit(256), 5 - n))
+        value = F.aggregate(F.transform(lead, lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x) + last
+        octets = [F.shiftright(value, shift).bitwiseAND(F.lit(255)).cast("string") for shift in (24, 16, 8, 0)]
+        return F.when(sound, F.concat_ws(".", *octets))
+
+    return F.when(F.size(parts) <= 4, once(F.transform(parts, number), whole))
+
+
+def _v6_host(host: Column) -> Column:
+    """The shortest text of a bracketed address; null if it is none."""
+    key = ip_key(F.substr(host, F.lit(2), F.length(host) - 2))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substr(key, k * 4 + 2, F.lit(4)), "^0{1,3}", ""))
+    text = F.array_join(groups, ":")
+    short = text
+    for n in range(2, 9):  # the longest run of zeros, the first of equal ones
+        run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+        short = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(short)
+    return F.when(key.startswith("6") & host.endswith("]"), F.concat(F.lit("["), short, F.lit("]")))
+
+
+def _host(raw: Column) -> Column:
+    decoded = F.when(raw.contains("%"), F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B"))).otherwise(raw)
+
+    def named(host: Column) -> Column:
+        number = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$")
+        return F.when(host.startswith("["), _v6_host(host)).when((host == "") | host.rlike(NO_HOST), F.lit(None).cast("string")).when(number, _v4_host(host)).otherwise(host)
+
+    return once(F.translate(decoded, UPPER, LOWER), named)
 
 
 def url(text: Column) -> Column:
-    """A normal http(s) URL: scheme and host in lower case, default port and fragment gone; null for any other, or with credentials."""
-    bare = F.regexp_replace(F.trim(text), r"#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    authority = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)
-    rest = F.substr(bare, F.length(scheme) + F.length(authority) + F.lit(4))
-    port = F.when(scheme == "http", F.lit(":80")).otherwise(F.lit(":443"))
-    host = F.lower(authority)
-    host = F.when(host.endswith(port), F.substr(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(scheme.isin("http", "https") & (host != "") & ~authority.contains("@"), F.concat(scheme, F.lit("://"), host, rest))
+    """An http(s) URL as browsers write it, without fragment: scheme and host in lower case, numeric hosts as addresses, no default port, no
+    dot segments, the rest percent-encoded. Null for other schemes, credentials, what is no URL, and hosts beyond ASCII (their
+    names would need the tables of IDNA)."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+
+    def parts(bare: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        rest = F.regexp_replace(F.substr(bare, F.length(scheme) + 2), r"^[/\\]+", "")
+        authority = F.regexp_extract(rest, r"^[^/\\?]*", 0)
+        tail = F.substr(rest, F.length(authority) + 1)
+        path = F.regexp_extract(tail, r"^[^?]*", 0)
+        return F.struct(scheme.alias("scheme"), F.regexp_extract(authority, r"^(.*)@", 1).alias("who"), F.regexp_extract(authority, r"[^@]*$", 0).alias("at"), path.alias("path"), F.when(F.length(tail) > F.length(path), F.substr(tail, F.length(path) + 2)).alias("query"))
+
+    def made(u: Column) -> Column:
+        split = r"^(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
+        port = F.regexp_replace(F.regexp_extract(u["at"], split, 2), "^0+(?=.)", "")
+        default = F.when(u["scheme"] == "http", F.lit("80")).otherwise(F.lit("443"))
+        shown = F.when((port == "") | (port == default), F.lit("")).when((F.length(port) <= 5) & (port.try_cast("int") <= 65535), F.concat(F.lit(":"), port))
+        host = F.when(u["at"].rlike(split), _host(F.regexp_extract(u["at"], split, 1)))
+        query = F.when(u["query"].isNull(), F.lit("")).otherwise(F.concat(F.lit("?"), _encoded(u["query"], IN_QUERY)))
+        return F.when(u["scheme"].isin("http", "https") & u["who"].isin("", ":"), F.concat(u["scheme"], F.lit("://"), host, shown, _path(u["path"]), query))
+
+    return once(once(F.regexp_replace(plain, r"(?s)#.*$", ""), parts), made)
 
 
 def host_of(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://(\[[^\]]*\]|[^/?#:]*)", 1), F.lit(""))
 
 
 #: TCP flag bits, their letters in order, and the named tests (mask, value; value 0: any bit of the mask).
@@ -158,9 +247,11 @@ def safe_text(text: Column) -> Column:
 
 
 def json_scalar(payload: Column, path: str) -> Column:
-    """Text of the scalar at a path; null for containers, null, what is missing and what is no JSON."""
+    """Text of the scalar at a path; null for containers, null, what is missing and what is no JSON. A text that looks like a container
+    is a text: only where the value begins like one is its type asked for."""
     value = F.get_json_object(payload, path)
-    return F.when(~value.rlike(r"^\s*[\[{]"), value)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
+    return F.when(value.rlike(r"^\s*[\[{]"), F.when(kind == "STRING", value)).otherwise(value)
 
 
 DURATION = re.compile(r"^([0-9]+)(ms|s|m|h|d)$")

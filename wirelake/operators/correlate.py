@@ -108,10 +108,16 @@ def relate(events: DataFrame, window_seconds: int, cross_source: bool = False) -
     """One row for each client hello and candidate: status unmatched, inferred or ambiguous."""
     if not 1 <= window_seconds <= 3600:
         raise WirelakeError("the window lasts from 1 to 3600 seconds")
-    tls, dns = hellos(events), bindings(events)
+    # A lookup that explains a hello lies in its stretch of the window's length, or the one before: a client that is busy
+    # all day does not meet all its lookups with all its hellos.
+    length = F.lit(window_seconds * 1_000_000_000).cast("decimal(38,0)")
+    stretch = lambda at: F.floor(at / length).cast("bigint")
+    tls = hellos(events).withColumn("_stretch", F.explode_outer(F.array(stretch(F.col("_at")), stretch(F.col("_at")) - 1)))
+    dns = bindings(events).withColumn("_dns_stretch", stretch(F.col("dns_at")))
     delta = F.col("_at") - F.col("dns_at")
     on = (
         (F.col("server_name") == F.col("name"))
+        & (F.col("_stretch") == F.col("_dns_stretch"))
         & (F.col("_key") == F.col("address_key"))
         & (F.col("sensor") == F.col("dns_sensor"))
         & (F.col("_context") == F.col("dns_context"))
@@ -129,7 +135,8 @@ def relate(events: DataFrame, window_seconds: int, cross_source: bool = False) -
     first = F.row_number().over(W.partitionBy("tls_event_id", "dns_event_id").orderBy(F.size("dns_name_chain"), F.concat_ws(".", "dns_name_chain"), "dns_ttl_seconds"))
     pairs = pairs.withColumn("_first", first).where("_first = 1")
     n = F.count("dns_event_id").over(W.partitionBy("tls_event_id"))
-    out = pairs.withColumn("candidate_count", n).join(_intel(events), "tls_event_id", "left")
+    counted = pairs.withColumn("candidate_count", n).where("dns_event_id is not null or candidate_count = 0").drop("_stretch", "_dns_stretch")
+    out = counted.join(_intel(events), "tls_event_id", "left")
     own = _intel(events).withColumnRenamed("tls_event_id", "dns_event_id").withColumnRenamed("_ids", "_dns_ids")
     out = out.join(own, "dns_event_id", "left")
     empty = F.array().cast("array<string>")

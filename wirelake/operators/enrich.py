@@ -7,12 +7,17 @@ are broadcast; the events never move.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wirelake.errors import WirelakeError
 from wirelake.functions import net
+from wirelake.functions.tables import written
 
 #: Limits of a feed, and of the findings of an event.
 MAX_INDICATORS, MAX_BLOCKS, MAX_RULES, MAX_SOURCES, MAX_FINDINGS = 65_536, 512, 256, 8, 128
@@ -21,7 +26,7 @@ RULE_FIELDS = ("src.ip", "dst.ip", "domain", "sha256", "anomaly.code", "proto")
 
 
 def indicators(feed: DataFrame) -> DataFrame:
-    """The feed with normal values; bad entries, or too many, are errors."""
+    """The feed with normal values; bad entries, or too many, are errors. It is read once, and has at most MAX_INDICATORS rows."""
     kind, value = F.col("kind"), F.col("value")
     normal = (
         F.when(kind == "ip", net.ip_key(value))
@@ -31,61 +36,69 @@ def indicators(feed: DataFrame) -> DataFrame:
         .when((kind == "cidr") & net.ip_key(F.substring_index(value, "/", 1)).isNotNull(), value)
     )
     out = feed.select("kind", normal.alias("match"), "source", F.coalesce("severity", F.lit("warning")).alias("severity"))
-    bad = out.where(F.col("match").isNull() | ~F.col("severity").isin(*SEVERITIES) | ~F.length("source").between(1, 256) | F.col("source").isNull())
-    facts = out.agg(F.count("*").alias("n"), F.count_if(kind == "cidr").alias("blocks")).first()
-    if facts["n"] > MAX_INDICATORS or facts["blocks"] > MAX_BLOCKS:
+    rows = out.limit(MAX_INDICATORS + 1).collect()
+    if len(rows) > MAX_INDICATORS or sum(r["kind"] == "cidr" for r in rows) > MAX_BLOCKS:
         raise WirelakeError(f"a feed has at most {MAX_INDICATORS} indicators, {MAX_BLOCKS} of them blocks")
-    if not bad.isEmpty():
-        raise WirelakeError(f"a bad indicator: {bad.first().asDict()}")
-    crowded = out.where(kind != "cidr").groupBy("kind", "match").count().where(F.col("count") > MAX_SOURCES)
-    if not crowded.isEmpty():
+    for r in rows:
+        if r["match"] is None or r["severity"] not in SEVERITIES or r["source"] is None or not 1 <= len(r["source"]) <= 256:
+            raise WirelakeError(f"a bad indicator: {r.asDict()}")
+    if max(Counter((r["kind"], r["match"]) for r in rows if r["kind"] != "cidr").values(), default=0) > MAX_SOURCES:
         raise WirelakeError(f"at most {MAX_SOURCES} sources an indicator")
-    return out
+    return feed.sparkSession.createDataFrame(rows, out.schema)
 
 
-def field_values(events: DataFrame) -> Column:
-    """(field, kind, value, match) of what an observation can be matched by, in field order."""
-    p = F.from_json("payload", "protocol struct<server_name:string,host:string,target:string,sha256:string>, anomaly struct<code:string>, dns struct<questions:array<struct<name:string>>>")
-    questions = F.transform(F.slice(F.coalesce(p["dns"]["questions"], F.array().cast("array<struct<name:string>>")), 1, 256), lambda q: q["name"])
+def field_values(events: DataFrame, fields: set[str]) -> Column:
+    """(field, kind, value, match) of what an observation can be matched by in ``fields``, in field order; the payload is read only if one
+    of them is in it."""
     one = lambda field, kind, value, match: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), value.alias("value"), match.alias("match"))
-    names = F.concat(questions, F.array(p["protocol"]["server_name"], p["protocol"]["host"]))
+    p = F.from_json("payload", "protocol struct<server_name:string,host:string,target:string,sha256:string>, anomaly struct<code:string>, dns struct<questions:array<struct<name:string>>>")
     target = F.concat(F.lit("http://"), p["protocol"]["host"], p["protocol"]["target"])
-    fixed = F.array(
-        one("anomaly.code", "anomaly.code", p["anomaly"]["code"], p["anomaly"]["code"]),
-        one("dst.ip", "ip", F.col("dst_ip"), net.ip_key(F.col("dst_ip"))),
-        one("proto", "proto", F.col("proto"), F.col("proto")),
-        one("sha256", "sha256", p["protocol"]["sha256"], F.lower(p["protocol"]["sha256"])),
-        one("src.ip", "ip", F.col("src_ip"), net.ip_key(F.col("src_ip"))),
-        one("url", "url", target, net.url(target)),
-    )
-    domains = F.transform(names, lambda n: one("domain", "domain", n, net.domain(n)))
-    return F.filter(F.array_sort(F.concat(fixed, domains)), lambda v: v["match"].isNotNull())
+    known = {
+        "anomaly.code": lambda: one("anomaly.code", "anomaly.code", p["anomaly"]["code"], p["anomaly"]["code"]),
+        "dst.ip": lambda: one("dst.ip", "ip", F.col("dst_ip"), net.ip_key(F.col("dst_ip"))),
+        "proto": lambda: one("proto", "proto", F.col("proto"), F.col("proto")),
+        "sha256": lambda: one("sha256", "sha256", p["protocol"]["sha256"], F.lower(p["protocol"]["sha256"])),
+        "src.ip": lambda: one("src.ip", "ip", F.col("src_ip"), net.ip_key(F.col("src_ip"))),
+        "url": lambda: one("url", "url", target, net.url(target)),
+    }
+    out = F.array(*[make() for field, make in known.items() if field in fields])
+    if "domain" in fields:
+        questions = F.transform(F.slice(F.coalesce(p["dns"]["questions"], F.array().cast("array<struct<name:string>>")), 1, 256), lambda q: q["name"])
+        names = F.concat(questions, F.array(p["protocol"]["server_name"], p["protocol"]["host"]))
+        domains = F.transform(names, lambda n: one("domain", "domain", n, net.domain(n)))
+        out = F.array_sort(F.concat(out, domains)) if len(fields) > 1 else domains
+    return F.filter(out, lambda v: v["match"].isNotNull())
+
+
+#: Fields that an indicator of a kind is looked for in.
+FIELDS_OF = {"ip": ("src.ip", "dst.ip"), "cidr": ("src.ip", "dst.ip"), "domain": ("domain",), "url": ("url",), "sha256": ("sha256",)}
 
 
 def findings(events: DataFrame, feed: DataFrame | None, rules: DataFrame | None = None, feed_version: str = "", rules_version: str = "") -> DataFrame:
     """event_id, event_type (intel.match or notice.policy), severity, by, version, field, value, message; exact matches, then
-    blocks, then rules, MAX_FINDINGS an event at most."""
-    values = events.select("event_id", F.col("event_type").alias("_type"), F.explode(field_values(events)).alias("_v")).select("event_id", "_type", "_v.*")
-    parts = []
-    if feed is not None:
-        known = indicators(feed)
-        exact = values.join(F.broadcast(known.where("kind <> 'cidr'")), ["kind", "match"])
-        blocks = known.where("kind = 'cidr'").collect()  # MAX_BLOCKS rows at most
-        parts.append(exact.select("event_id", F.lit("intel.match").alias("event_type"), "severity", F.col("source").alias("by"), "field", "value", F.lit(0).alias("_order")))
-        if blocks:
-            ranges = [(*net.cidr_keys(b["match"]), b["source"], b["severity"]) for b in blocks]
-            table = F.broadcast(events.sparkSession.createDataFrame(ranges, "lo string, hi string, by string, severity string"))
-            inside = values.where("kind = 'ip'").join(table, F.col("match").between(F.col("lo"), F.col("hi")))
-            parts.append(inside.select("event_id", F.lit("intel.match").alias("event_type"), "severity", "by", "field", "value", F.lit(1).alias("_order")))
-    if rules is not None:
-        if rules.count() > MAX_RULES or not rules.where(~F.col("field").isin(*RULE_FIELDS) | ~F.col("severity").isin(*SEVERITIES)).isEmpty():
-            raise WirelakeError(f"at most {MAX_RULES} rules, on {', '.join(RULE_FIELDS)}")
-        own = F.broadcast(rules.select(F.col("event_type").alias("_of"), F.col("field").alias("_field"), "equals", F.col("id").alias("by"), "severity"))
-        hit = values.join(own, (F.col("field") == F.col("_field")) & (F.col("value") == F.col("equals")) & ((F.col("_of") == "*") | (F.col("_of") == F.col("_type"))))
-        parts.append(hit.select("event_id", F.lit("notice.policy").alias("event_type"), "severity", "by", "field", "value", F.lit(2).alias("_order")).distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    blocks, then rules, MAX_FINDINGS an event at most. Only fields that the feed or the rules ask for are looked at."""
+    known = indicators(feed).collect() if feed is not None else []  # MAX_INDICATORS rows at most
+    own = rules.limit(MAX_RULES + 1).collect() if rules is not None else []
+    if len(own) > MAX_RULES or any(r["field"] not in RULE_FIELDS or r["severity"] not in SEVERITIES for r in own):
+        raise WirelakeError(f"at most {MAX_RULES} rules, on {', '.join(RULE_FIELDS)}")
+    spark = events.sparkSession
+    fields = {f for r in known for f in FIELDS_OF[r["kind"]]} | {r["field"] for r in own}
+    values = events.select("event_id", F.col("event_type").alias("_type"), F.explode(field_values(events, fields) if fields else F.array().cast("array<struct<field:string,kind:string,value:string,match:string>>")).alias("_v")).select("event_id", "_type", "_v.*")
+    kinds = "event_id string, event_type string, severity string, by string, field string, value string, _order int"
+    out = spark.createDataFrame([], kinds)
+    if exact := [(r["kind"], r["match"], r["source"], r["severity"]) for r in known if r["kind"] != "cidr"]:
+        table = F.broadcast(spark.createDataFrame(exact, "kind string, match string, by string, severity string"))
+        out = out.unionByName(values.join(table, ["kind", "match"]).select("event_id", F.lit("intel.match").alias("event_type"), "severity", "by", "field", "value", F.lit(0).alias("_order")))
+    if ranges := [(*net.cidr_keys(r["match"]), r["source"], r["severity"]) for r in known if r["kind"] == "cidr"]:
+        table = F.broadcast(spark.createDataFrame(ranges, "lo string, hi string, by string, severity string"))
+        # At most MAX_BLOCKS ranges; most values lie in none of them and go before the join.
+        near = values.where(F.col("match").between(min(r[0] for r in ranges), max(r[1] for r in ranges)))
+        inside = near.where("kind = 'ip'").join(table, F.col("match").between(F.col("lo"), F.col("hi")))
+        out = out.unionByName(inside.select("event_id", F.lit("intel.match").alias("event_type"), "severity", "by", "field", "value", F.lit(1).alias("_order")))
+    if own:
+        table = F.broadcast(rules.select(F.col("event_type").alias("_of"), F.col("field").alias("_field"), "equals", F.col("id").alias("by"), "severity"))
+        hit = values.join(table, (F.col("field") == F.col("_field")) & (F.col("value") == F.col("equals")) & ((F.col("_of") == "*") | (F.col("_of") == F.col("_type"))))
+        out = out.unionByName(hit.select("event_id", F.lit("notice.policy").alias("event_type"), "severity", "by", "field", "value", F.lit(2).alias("_order")).distinct())
     order = F.row_number().over(W.partitionBy("event_id").orderBy("_order", "field", "value", "by"))
     version = F.when(F.col("event_type") == "intel.match", F.lit(feed_version)).otherwise(F.lit(rules_version))
     return out.withColumn("_n", order).where(F.col("_n") <= MAX_FINDINGS).withColumn("version", version).drop("_n", "_order")
@@ -105,24 +118,65 @@ def derived(events: DataFrame, found: DataFrame, stage: str = "finding") -> Data
 def notice_gate(notices: DataFrame, keys: list[str], time: str = "timestamp_ms", order: list[str] = ("event_id",), quiet_ms: int = 60_000, per_second: int = 100) -> DataFrame:
     """``notices`` with passed: false if the same key passed within the quiet time before, or the second is full.
 
-    By event time. A key's notices are cut where the gap to the one before is the quiet time or more: the first of each piece
-    passes, and the rest of a piece are walked on from it.
+    By event time. Only what passes begins a quiet time. A key's notices are cut into pieces where the gap to the one before is the quiet
+    time or more, and each piece is walked in order by itself, a row at a time. A second that is full refuses notices, which then
+    begin no quiet time: with these known the pieces are walked again, until the same are refused as before. Seconds depend on earlier
+    ones only, so that each round settles the first of those that are not settled, and mostly all.
+    """
+    rows = written(_with_pieces(notices, keys, time, quiet_ms), "notices")
+    refused: DataFrame | None = None
+    before = None
+    while True:
+        walked = _walked(rows, keys, time, order, quiet_ms, refused)
+        second = W.partitionBy("_new", F.floor(F.col(time) / 1000), F.when(F.col("_new"), F.lit("")).otherwise(F.col("_row").cast("string"))).orderBy(time, *order, "_row")
+        marked = written(walked.withColumn("passed", F.col("_new") & (F.row_number().over(second) <= per_second)), "notices-walked")
+        full = marked.where("_new and not passed").select("_row")
+        now = full.agg(F.count("*").alias("n"), F.sum(F.xxhash64("_row").cast("decimal(38,0)")).alias("h")).first()
+        if not now["n"] or now == before:
+            return marked.select(*notices.columns, "passed")
+        refused, before = full, now
+
+
+def _with_pieces(notices: DataFrame, keys: list[str], time: str, quiet_ms: int) -> DataFrame:
+    """``notices`` with _row, a number of their own, and _piece.
+
+    Found from the first and last time of each key in each stretch of the quiet time: a stretch is part of the piece before if the
+    gap between is shorter. Within a stretch no gap can be longer.
     """
-    by = W.partitionBy(*keys).orderBy(time, *order)
-    rows = notices.withColumn("_lag", F.lag(time).over(by))
-    rows = rows.withColumn("_piece", F.sum((F.col("_lag").isNull() | (F.col(time) - F.col("_lag") >= quiet_ms)).cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    piece = W.partitionBy(*keys, "_piece")
-    times = rows.groupBy(*keys, "_piece").agg(F.array_sort(F.collect_set(time)).alias("_times"))
-
-    def step(kept: Column, t: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= quiet_ms), F.concat(kept, F.array(t))).otherwise(kept)
-
-    kept = times.select(*keys, "_piece", F.explode(F.aggregate("_times", F.array().cast("array<bigint>"), step)).alias(time), F.lit(True).alias("_kept"))
-    first = F.row_number().over(W.partitionBy(*keys, "_piece", time).orderBy(*order)) == 1
-    rows = rows.withColumn("_first", first).join(kept, [*keys, "_piece", time], "left")
-    rows = rows.withColumn("_new", F.coalesce(F.col("_kept"), F.lit(False)) & F.col("_first"))
-    second = W.partitionBy("_new", F.floor(F.col(time) / 1000)).orderBy(time, *order)
-    return rows.withColumn("passed", F.col("_new") & (F.row_number().over(second) <= per_second)).drop("_lag", "_piece", "_first", "_kept", "_new")
+    rows = notices.withColumns({"_row": F.monotonically_increasing_id(), "_stretch": F.floor(F.col(time) / max(1, quiet_ms))})
+    ends = rows.groupBy(*keys, "_stretch").agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    by = W.partitionBy(*keys).orderBy("_stretch")  # of a key as many rows as it has stretches
+    opens = F.coalesce(F.col("_lo") - F.lag("_hi").over(by) >= quiet_ms, F.lit(True)).cast("int")
+    pieces = ends.withColumn("_opens", opens).withColumn("_piece", F.sum("_opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    there = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), "_piece")
+    on = rows["_stretch"].eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        on = on & rows[k].eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(there, on).select(*notices.columns, "_row", "_piece")
+
+
+def _walked(rows: DataFrame, keys: list[str], time: str, order: list[str], quiet_ms: int, refused: DataFrame | None) -> DataFrame:
+    """``rows`` with _new: whether their key is not quiet; the ``refused`` (_row) begin no quiet time."""
+    known = rows.withColumn("_refused", F.lit(False)) if refused is None else rows.join(refused.withColumn("_refused", F.lit(True)), "_row", "left").withColumn("_refused", F.coalesce("_refused", F.lit(False)))
+    whole = [*keys, "_piece"]
+    placed = known.withColumn("_cell", F.xxhash64(*whole)).repartition("_cell").sortWithinPartitions("_cell", *whole, time, *order, "_row")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell = last = None
+        for pdf in batches:
+            new = []
+            for key, at, no in zip(pdf[whole].itertuples(index=False), pdf[time], pdf["_refused"], strict=True):
+                key = tuple(None if k is None or k != k else k for k in key)
+                if key != cell:
+                    cell, last = key, None
+                fits = at == at and at is not None and (last is None or at - last >= quiet_ms)
+                new.append(fits)
+                if fits and not no:
+                    last = at
+            yield pdf.drop(columns=["_refused", "_cell"]).assign(_new=new)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return placed.select(*rows.columns, "_refused", "_cell").mapInPandas(run, f"{kinds}, _new boolean")
 
 
 def suppressed(gated: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 A flow's fold depends on other flows only through the watermark, the greatest time seen so far in capture order. So
 the watermark at each packet is computed first (in ranges of the sequence, each led by the maximum of those before,
-never in one task), and every key folds by itself. One key may hold a third of all packets; its fold is then cut:
-a packet that follows the one before it in its key by the idle time or more, with the watermark past both, always opens
-a flow, so such places cut a key into independent runs before anything is grouped.
+never in one task), and every key folds by itself, cut into runs: a packet that follows the one before it in its key by the idle time
+or more, with the watermark past both, always opens a flow. A key of more than ``HOT`` packets (one may hold a third of them) is cut into
+the same ranges before it is sorted, and its ranges carry over what they need.
+
+Most runs are one flow, which sums say of them: no connection is reset, closed or opened inside, and the active time does not end there.
+These are aggregated. Only the packets of the other runs are folded one by one, in tasks that hold one open flow.
 """
 
 from __future__ import annotations
@@ -58,21 +61,33 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-def with_watermark(packets: DataFrame, time: str = "us", ranges: int | None = None) -> DataFrame:
-    """``packets`` with wm, the greatest time up to each in capture order of its source.
+#: Packets of a key from which on it is cut before it is sorted; sources up to which their ends are broadcast.
+HOT, BROADCAST_SOURCES = 1_000_000, 100_000
+
+
+def source_ends(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
+    """(source, first and last sequence, wm_end), to be joined, and the number of packets."""
+    ends = packets.groupBy("source").agg(F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"), F.max(time).alias("wm_end"), F.count("*").alias("_n"))
+    few = ends.limit(BROADCAST_SOURCES + 1).collect()
+    if len(few) <= BROADCAST_SOURCES:
+        return F.broadcast(packets.sparkSession.createDataFrame(few, ends.schema).drop("_n")), sum(r["_n"] for r in few)
+    return ends.drop("_n"), HOT + 1
+
+
+def with_watermark(packets: DataFrame, time: str = "us", ranges: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """``packets`` with wm, the greatest time up to each in capture order of its source, wm_end, the greatest of all, and _range.
 
     Sequences are cut into equal ranges; a range's own running maximum joins the maximum of those before it.
     """
     spark = packets.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    ends = packets.groupBy("source").agg(F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"))
-    rows = packets.join(ends, "source")  # one row a source
+    rows = packets.join(ends if ends is not None else source_ends(packets, time)[0], "source")
     width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / n))
     rows = rows.withColumn("_range", F.floor((F.col("sequence") - F.col("_lo")) / width).cast("int"))
     tops = rows.groupBy("source", "_range").agg(F.max(time).alias("_top"))  # n rows a source at most
     before = tops.select("source", "_range", F.max("_top").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
     own = W.partitionBy("source", "_range").orderBy("sequence").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("_own", F.max(time).over(own)).join(before, ["source", "_range"]).withColumn("wm", F.greatest("_own", "_before")).drop("_lo", "_hi", "_range", "_own", "_before")
+    return rows.withColumn("_own", F.max(time).over(own)).join(before, ["source", "_range"]).withColumn("wm", F.greatest("_own", "_before")).drop("_lo", "_hi", "_own", "_before")
 
 
 @dataclass
@@ -155,36 +170,106 @@ class Folder:
             self.flow = None
 
 
-def foldable(packets: DataFrame, time: str = "us") -> DataFrame:
-    """Packets that take part in flows, keyed, with watermark and the last watermark of their source."""
-    rows = with_watermark(with_flow_key(packets), time)
-    final = packets.groupBy(F.col("source") if "source" in packets.columns else F.lit("").alias("source")).agg(F.max(time).alias("wm_end"))
-    rows = rows.where(~F.coalesce("fragmented", F.lit(False)) & F.col("proto").isin("tcp", "udp") & F.col(time).isNotNull()).join(final, "source")
+def foldable(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
+    """Packets that take part in flows, keyed, with watermark and the last watermark of their source; and the number of all."""
+    keyed = with_flow_key(packets)
+    ends, n = source_ends(keyed, time)
+    rows = with_watermark(keyed, time, ends=ends)
+    rows = rows.where(~F.coalesce("fragmented", F.lit(False)) & F.col("proto").isin("tcp", "udp") & F.col(time).isNotNull())
     if "tcp_sequence" not in rows.columns:
         rows = rows.withColumn("tcp_sequence", F.lit(None).cast("long"))
-    return rows
+    return rows, n
 
 
-def with_runs(rows: DataFrame, timeouts: Timeouts, time: str = "us") -> DataFrame:
+def with_runs(rows: DataFrame, timeouts: Timeouts, time: str = "us", hot: int | None = None) -> DataFrame:
     """``rows`` with run: between two runs of a key, no flow can go on.
 
     What is open before a packet ends by the idle time after the greatest time of its key so far; if the watermark at the
-    packet has passed that, the packet begins a run.
+    packet has passed that, the packet begins a run. Keys of more than ``hot`` rows are cut by _range.
     """
+    if hot is None:
+        return _cut(rows.withColumns({"_part": F.lit(0), "_carried": F.lit(None).cast("long"), "_runs": F.lit(0).cast("long")}), timeouts, time)
+    rows = rows.withColumn("_key", F.xxhash64("source", *[F.col(c) if c != "vlans" else F.array_join(F.transform("vlans", lambda v: v.cast("string")), ",") for c in KEY]))
+    crowded = rows.groupBy("_key").count().where(F.col("count") > hot).select("_key", F.lit(True).alias("_hot"))
+    rows = rows.join(crowded, "_key", "left").withColumn("_part", F.when(F.col("_hot"), F.col("_range")).otherwise(-1)).drop("_hot")
+    where = ["source", *KEY, "_part"]
+    earlier = W.partitionBy("source", *KEY).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a key's ranges: as many rows as there are ranges
+    tops = rows.where("_part >= 0").groupBy(*where).agg(F.max(time).alias("_top"))
+    carried = tops.select(*where, F.max("_top").over(earlier).alias("_carried"))
+    rows = rows.join(carried, where, "left")
+    breaks = _cut(rows.withColumn("_runs", F.lit(0).cast("long")), timeouts, time)
+    counts = breaks.where("_part >= 0").groupBy(*where).agg(F.max("run").alias("_last"))
+    return breaks.join(counts.select(*where, F.sum("_last").over(earlier).alias("_runs")), where, "left").withColumn("run", F.col("run") + F.coalesce("_runs", F.lit(0))).drop("_key", "_part", "_runs")
+
+
+def _cut(rows: DataFrame, timeouts: Timeouts, time: str) -> DataFrame:
     idle = F.when(F.col("proto") == "tcp", F.lit(timeouts.tcp_idle)).otherwise(F.lit(timeouts.udp_idle))
-    by = W.partitionBy("source", *KEY).orderBy("sequence")
-    latest = F.max(time).over(by.rowsBetween(W.unboundedPreceding, -1))
+    by = W.partitionBy("source", *KEY, "_part").orderBy("sequence")
+    latest = F.greatest(F.max(time).over(by.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
     breaks = F.coalesce(latest + idle <= F.col("wm"), F.lit(True))
-    return rows.withColumn("_break", breaks.cast("int")).withColumn("run", F.sum("_break").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_break")
+    return rows.withColumn("_break", breaks.cast("int")).withColumn("run", F.sum("_break").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_break", "_carried", "_runs")
+
+
+def run_sums(rows: DataFrame, timeouts: Timeouts, time: str = "us") -> DataFrame:
+    """For each run the flow that it is, if it is one, and plain: whether it is.
+
+    A run is one flow unless a reset or the second side's FIN comes before its last packet, a connection is opened elsewhere than
+    by its first packet (repeated alike perhaps), or the active time may end before its last packet.
+    """
+    way, us, seq = F.col("forward"), F.col(time), F.col("sequence")
+    flags, tcp = F.coalesce("tcp_flags", F.lit(0)), F.col("proto") == "tcp"
+    bit = lambda b: tcp & (flags.bitwiseAND(F.lit(b)) != 0)
+    opens = tcp & (flags.bitwiseAND(F.lit(SYN | ACK)) == SYN) & F.col("tcp_sequence").isNotNull()
+    opened = F.when(opens, F.struct(way.alias("w"), F.col("tcp_sequence").alias("s")))
+    out = rows.groupBy("source", *KEY, "run").agg(
+        F.min(seq).alias("first_sequence"),
+        F.min_by(way, seq).alias("initiator_forward"),
+        F.min(us).alias("start_us"),
+        F.max(us).alias("end_us"),
+        F.count_if(way).alias("packets_ab"),
+        F.count_if(~way).alias("packets_ba"),
+        F.coalesce(F.sum(F.when(way, F.col("original_len"))), F.lit(0)).cast("bigint").alias("bytes_ab"),
+        F.coalesce(F.sum(F.when(~way, F.col("original_len"))), F.lit(0)).cast("bigint").alias("bytes_ba"),
+        F.coalesce(F.bit_or(F.when(way, flags)), F.lit(0)).alias("flags_ab"),
+        F.coalesce(F.bit_or(F.when(~way, flags)), F.lit(0)).alias("flags_ba"),
+        F.max(seq).alias("_last"),
+        F.max("wm").alias("_wm"),
+        F.max("wm_end").alias("_end"),
+        F.min(F.when(bit(RST), seq)).alias("_reset"),
+        F.min(F.when(bit(FIN) & way, seq)).alias("_fin_ab"),
+        F.min(F.when(bit(FIN) & ~way, seq)).alias("_fin_ba"),
+        F.min(F.when(opens, seq)).alias("_first_open"),
+        F.min(opened).alias("_open_lo"),
+        F.max(opened).alias("_open_hi"),
+    )
+    fin = F.when(F.col("_fin_ab").isNotNull() & F.col("_fin_ba").isNotNull(), F.greatest("_fin_ab", "_fin_ba"))
+    ends_last = lambda at: at.isNull() | (at == F.col("_last"))
+    opens_first = F.col("_first_open").isNull() | (F.col("_first_open") == F.col("first_sequence")) & (F.col("_open_lo") == F.col("_open_hi"))
+    plain = ends_last(F.col("_reset")) & ends_last(fin) & opens_first & (F.col("start_us") + timeouts.active > F.col("_wm"))
+    idle = F.when(tcp, F.lit(timeouts.tcp_idle)).otherwise(F.lit(timeouts.udp_idle))
+    at_idle, at_active = F.col("end_us") + idle, F.col("start_us") + timeouts.active
+    reason = (
+        F.when(F.col("_reset").isNotNull(), "tcp_reset").when(fin.isNotNull(), "tcp_fin").when(F.least(at_idle, at_active) > F.col("_end"), "eof")
+        .when(at_active <= at_idle, "active_timeout").otherwise("idle_timeout")
+    )
+    cells = [x.split()[0] for x in ENDED.split(", ")]
+    return out.withColumns({"plain": plain, "end_reason": reason}).select("source", *KEY, "run", *cells, "plain")
 
 
 _NEEDED = ("sequence", "wm", "wm_end", "forward", "original_len", "tcp_flags", "tcp_sequence")
 
 
-def _ordered(packets: DataFrame, timeouts: Timeouts, time: str) -> DataFrame:
-    """Packets of flows, each run's rows together and in capture order."""
-    rows = with_runs(foldable(packets, time), timeouts, time).withColumn("conversation_id", conversation_id())
-    rows = rows.select("source", *KEY, "conversation_id", "run", F.col(time).alias("us"), *_NEEDED)
+def _runs(packets: DataFrame, timeouts: Timeouts, time: str) -> tuple[DataFrame, DataFrame]:
+    """Packets of flows with their runs, and the runs' sums."""
+    rows, n = foldable(packets, time)
+    rows = with_runs(rows, timeouts, time, HOT if n > HOT else None).select("source", *KEY, "run", F.col(time).alias("us"), *_NEEDED)
+    return rows, run_sums(rows, timeouts)
+
+
+def _ordered(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Packets of the runs that are not plain, each run's together and in capture order."""
+    rows = rows.join(runs.where("not plain").select("source", *KEY, "run"), ["source", *KEY, "run"], "left_semi").withColumn("conversation_id", conversation_id())
+    rows = rows.select("source", *KEY, "conversation_id", "run", "us", *_NEEDED)
     return rows.repartition("conversation_id", "run").sortWithinPartitions("conversation_id", "run", "sequence")
 
 
@@ -212,26 +297,31 @@ def _folded(batches: Iterator[pd.DataFrame], timeouts: Timeouts) -> Iterator[tup
 
 def sessionize(packets: DataFrame, timeouts: Timeouts = Timeouts(), time: str = "us") -> DataFrame:
     """One row for each flow instance: key, directional counters and flags, end_reason, tcp_state, flow_id."""
-    rows = _ordered(packets, timeouts, time)
+    rows, runs = _runs(packets, timeouts, time)
+    odd = _ordered(rows, runs)
     cells = [x.split()[0] for x in ENDED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, ended, _ in _folded(batches, timeouts):
             yield pd.DataFrame([(*key, *x) for key, x in ended], columns=["source", *KEY, "conversation_id", *cells])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in odd.schema.fields}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in ("source", *KEY, "conversation_id")], ENDED])
-    return rows.mapInPandas(run, schema).withColumn("tcp_state", tcp_state()).withColumn("flow_id", flow_id())
+    folded = odd.mapInPandas(run, schema)
+    plain = runs.where("plain").withColumn("conversation_id", conversation_id()).select(*folded.columns)
+    return plain.unionByName(folded).withColumn("tcp_state", tcp_state()).withColumn("flow_id", flow_id())
 
 
 def assign(packets: DataFrame, timeouts: Timeouts = Timeouts(), time: str = "us") -> DataFrame:
     """(source, sequence, first_sequence): the instance of each packet in flows, named by its first packet."""
+    rows, runs = _runs(packets, timeouts, time)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, _, assigned in _folded(batches, timeouts):
             yield pd.DataFrame(assigned, columns=["source", "sequence", "first_sequence"])
 
-    return _ordered(packets, timeouts, time).mapInPandas(run, "source string, sequence long, first_sequence long")
+    plain = rows.join(runs.where("plain").select("source", *KEY, "run", "first_sequence"), ["source", *KEY, "run"]).select("source", "sequence", "first_sequence")
+    return plain.unionByName(_ordered(rows, runs).mapInPandas(run, "source string, sequence long, first_sequence long"))
 
 
 def tcp_state() -> Column:

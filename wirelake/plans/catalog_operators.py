@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wirelake.functions import net
 from wirelake.operators import correlate, enrich, flows, retention, stats
-from wirelake.plans import pipeline, policy, wire
+from wirelake.plans import catalog_wire, pipeline, policy, wire
 from wirelake.plans.observations import OBSERVATIONS_SQL, PACKETS_SQL, epoch_us, observations, packets, table
 
 FIRST_MS = 1_704_067_200_000  # 1 January 2024
@@ -64,20 +64,63 @@ SELECT *, CASE WHEN proto <> 'tcp' THEN NULL WHEN (flags_ab | flags_ba) & 4 <> 0
   WHEN flags_ab & flags_ba & 2 <> 0 AND (flags_ab | flags_ba) & 16 <> 0 THEN 'established' WHEN (flags_ab | flags_ba) & 2 <> 0 THEN 'syn_seen' ELSE 'midstream' END AS tcp_state FROM sides"""
 
 
+_DAY = 86_400_000_000
+#: TCP idle, UDP idle and active time of the registered sessions.
+_TIMES = 30 * _DAY, 10 * _DAY, 90 * _DAY
+
+
 def flow_sessionize_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = 86_400_000_000
-    return flows.sessionize(packets(spark, sf_dir), flows.Timeouts(30 * day, 10 * day, 90 * day)).drop("vlans")
+    """Flow instances with idle and active timeouts, TCP closes and the watermark of the capture order."""
+    return flows.sessionize(packets(spark, sf_dir), flows.Timeouts(*_TIMES)).drop("vlans", "section", "interface", "source")
+
+
+def _framed(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR" for x in parts) + ")"
+
+
+_ENDED_SQL = "first_sequence, initiator_forward, start_us, end_us, packets_ab, packets_ba, bytes_ab, bytes_ba, flags_ab, flags_ba"
+_CLOSE_SQL = "{" + ", ".join(f"'{c}': {{0}}.{c}" for c in _ENDED_SQL.split(", ")) + "}"
+_DUE_SQL = f"least({{0}}.end_us + CASE WHEN proto = 'tcp' THEN {_TIMES[0]} ELSE {_TIMES[1]} END, {{0}}.start_us + {_TIMES[2]})"
+_WHY_SQL = f"CASE WHEN {{0}}.start_us + {_TIMES[2]} <= {{0}}.end_us + CASE WHEN proto = 'tcp' THEN {_TIMES[0]} ELSE {_TIMES[1]} END THEN 'active_timeout' ELSE 'idle_timeout' END"
+#: Each key's packets one after another, all keys at once: a step takes the open flow and one packet.
+_ACTIVE_SQL = f"""WITH RECURSIVE {PACKETS_SQL}, {_KEYED_SQL},
+marked AS (SELECT *, max(us) OVER (ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS wm FROM keyed),
+p AS (SELECT *, coalesce(tcp_flags, 0) AS f, row_number() OVER (PARTITION BY a_ip, a_port, b_ip, b_port, proto ORDER BY sequence) AS k FROM marked WHERE NOT fragmented),
+walk AS (
+  SELECT DISTINCT a_ip, a_port, b_ip, b_port, proto, 0::BIGINT AS k, NULL::STRUCT(first_sequence BIGINT, initiator_forward BOOLEAN, start_us BIGINT, end_us BIGINT, packets_ab BIGINT, packets_ba BIGINT, bytes_ab BIGINT, bytes_ba BIGINT, flags_ab INTEGER, flags_ba INTEGER) AS open,
+    NULL::STRUCT(first_sequence BIGINT, initiator_forward BOOLEAN, start_us BIGINT, end_us BIGINT, packets_ab BIGINT, packets_ba BIGINT, bytes_ab BIGINT, bytes_ba BIGINT, flags_ab INTEGER, flags_ba INTEGER) AS before, NULL::VARCHAR AS before_why,
+    NULL::STRUCT(first_sequence BIGINT, initiator_forward BOOLEAN, start_us BIGINT, end_us BIGINT, packets_ab BIGINT, packets_ba BIGINT, bytes_ab BIGINT, bytes_ba BIGINT, flags_ab INTEGER, flags_ba INTEGER) AS after, NULL::VARCHAR AS after_why FROM p
+  UNION ALL
+  SELECT a_ip, a_port, b_ip, b_port, proto, k, CASE WHEN why IS NULL THEN now END, CASE WHEN late THEN open END, CASE WHEN late THEN {_WHY_SQL.format("open")} END, CASE WHEN why IS NOT NULL THEN now END, why
+  FROM (
+    SELECT *, CASE WHEN proto = 'tcp' AND f & 4 <> 0 THEN 'tcp_reset' WHEN proto = 'tcp' AND now.flags_ab & now.flags_ba & 1 <> 0 THEN 'tcp_fin' WHEN {_DUE_SQL.format("now")} <= wm THEN {_WHY_SQL.format("now")} END AS why
+    FROM (
+      SELECT *, {{'first_sequence': coalesce(own.first_sequence, sequence), 'initiator_forward': coalesce(own.initiator_forward, fwd), 'start_us': least(coalesce(own.start_us, us), us), 'end_us': greatest(coalesce(own.end_us, us), us),
+        'packets_ab': coalesce(own.packets_ab, 0) + fwd::INT, 'packets_ba': coalesce(own.packets_ba, 0) + (NOT fwd)::INT, 'bytes_ab': coalesce(own.bytes_ab, 0) + CASE WHEN fwd THEN original_len ELSE 0 END, 'bytes_ba': coalesce(own.bytes_ba, 0) + CASE WHEN fwd THEN 0 ELSE original_len END,
+        'flags_ab': coalesce(own.flags_ab, 0) | CASE WHEN fwd THEN f ELSE 0 END, 'flags_ba': coalesce(own.flags_ba, 0) | CASE WHEN fwd THEN 0 ELSE f END}} AS now
+      FROM (
+        SELECT *, CASE WHEN NOT late THEN open END AS own
+        FROM (SELECT p.*, w.open, coalesce({_DUE_SQL.format("w.open").replace("proto", "p.proto")} <= p.wm, false) AS late FROM walk w JOIN p ON w.a_ip = p.a_ip AND w.a_port = p.a_port AND w.b_ip = p.b_ip AND w.b_port = p.b_port AND w.proto = p.proto AND p.k = w.k + 1))))),
+ended AS (
+  SELECT a_ip, a_port, b_ip, b_port, proto, before AS flow, before_why AS end_reason FROM walk WHERE before_why IS NOT NULL
+  UNION ALL SELECT a_ip, a_port, b_ip, b_port, proto, after, after_why FROM walk WHERE after_why IS NOT NULL
+  UNION ALL SELECT a_ip, a_port, b_ip, b_port, proto, open, CASE WHEN {_DUE_SQL.format("open")} <= (SELECT max(us) FROM packets) THEN {_WHY_SQL.format("open")} ELSE 'eof' END
+    FROM (SELECT *, row_number() OVER (PARTITION BY a_ip, a_port, b_ip, b_port, proto ORDER BY k DESC) AS last FROM walk) WHERE last = 1 AND open IS NOT NULL),
+named AS (SELECT a_ip, a_port, b_ip, b_port, proto, {", ".join(f"flow.{c} AS {c}" for c in _ENDED_SQL.split(", "))}, end_reason, {_framed("''", "a_ip", "a_port", "b_ip", "b_port", "proto", "0", "0", "''")} AS conversation_id FROM ended)
+SELECT *, CASE WHEN proto <> 'tcp' THEN NULL WHEN (flags_ab | flags_ba) & 4 <> 0 THEN 'reset' WHEN flags_ab & flags_ba & 1 <> 0 THEN 'closed' WHEN (flags_ab | flags_ba) & 1 <> 0 THEN 'half_closed'
+  WHEN flags_ab & flags_ba & 2 <> 0 AND (flags_ab | flags_ba) & 16 <> 0 THEN 'established' WHEN (flags_ab | flags_ba) & 2 <> 0 THEN 'syn_seen' ELSE 'midstream' END AS tcp_state,
+  {_framed("'instance'", "conversation_id", "first_sequence")} AS flow_id FROM named"""
 
 
 def intel_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = spark.createDataFrame([("domain", "spam-farm.example.org.", "list-a", "high"), ("domain", "WWW.Cheap-Pills.example.com", "list-a", None), ("domain", "blog.tionsh.example.com", "list-b", "info")], "kind string, value string, source string, severity string")
-    pages = table(spark, sf_dir, "pages").select("page_id", net.domain(net.host_of(net.url(F.col("url")))).alias("match"))
-    known = enrich.indicators(feed)
-    return pages.join(F.broadcast(known), "match").select("page_id", F.col("match").alias("value"), "source", "severity")
+    """Addresses of observations that a feed names, through the matcher."""
+    feed = spark.createDataFrame([("ip", "10.0.0.1", "list-a", "high"), ("ip", "2001:DB8:0::3", "list-a", None), ("ip", "198.51.3.3", "list-b", "info"), ("ip", "10.0.0.1", "list-b", "info")], "kind string, value string, source string, severity string")
+    return enrich.findings(observations(spark, sf_dir), feed).select("event_id", "field", "value", F.col("by").alias("source"), "severity")
 
 
-_EXACT_SQL = """WITH feed(value, source, severity) AS (VALUES ('spam-farm.example.org', 'list-a', 'high'), ('www.cheap-pills.example.com', 'list-a', 'warning'), ('blog.tionsh.example.com', 'list-b', 'info'))
-SELECT page_id, value, source, severity FROM pages JOIN feed ON lower(regexp_extract(url, '://([^/?#:]*)', 1)) = value"""
+_EXACT_SQL = f"""WITH {OBSERVATIONS_SQL}, feed(value, source, severity) AS (VALUES ('10.0.0.1', 'list-a', 'high'), ('2001:db8::3', 'list-a', 'warning'), ('198.51.3.3', 'list-b', 'info'), ('10.0.0.1', 'list-b', 'info')),
+ips AS (SELECT event_id, 'src.ip' AS field, src_ip AS value FROM obs UNION ALL SELECT event_id, 'dst.ip', dst_ip FROM obs)
+SELECT event_id, field, value, source, severity FROM ips JOIN feed USING (value)"""
 
 
 def intel_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +146,7 @@ UNION ALL SELECT event_id, 'any-host', 'src.ip', src_ip, 'high' FROM obs WHERE s
 
 
 def corr_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views before a purchase of the same user within an hour: the shape of the correlation join, status by candidates."""
+    """Views before a purchase of the same user within ten hours: the shape of the correlation join, status by candidates."""
     o = observations(spark, sf_dir)
     buys = o.where("event_type = 'purchase'").select(F.col("event_id").alias("buy_id"), "conversation_id", F.col("timestamp_ms").alias("at"))
     views = o.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "conversation_id", F.col("timestamp_ms").alias("seen"))
@@ -293,7 +336,7 @@ _URL_SQL = """SELECT page_id, regexp_replace(url, '#.*$', '') AS normal, lower(r
 def flow_end_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query that sees ended flows only, whatever it asks."""
     o = observations(spark, sf_dir).withColumn("event_type", F.when(F.col("event_type") == "view", F.lit("flow.end")).otherwise(F.col("event_type")))
-    return pipeline.query(o.where(F.col("event_type") == "flow.end"), "bytes > 1KB | group proto, src.ip | sort bytes desc | limit 50", result_rows=None)
+    return pipeline.flows(o, "bytes > 1KB | group proto, src.ip | sort bytes desc | limit 50", result_rows=None)
 
 
 _SCOPE_SQL = f"""WITH {OBSERVATIONS_SQL} SELECT proto, src_ip, count(*) AS count, sum(packets)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes FROM obs WHERE event_type = 'view' AND bytes > 1024 GROUP BY ALL ORDER BY bytes DESC LIMIT 50"""
@@ -315,7 +358,7 @@ QUERIES = {
         policy_effects, policy_metric_totals, json_virtual, retention_classes, union_hot_tail, netflow_seq_gap, trace_flow, url_normal, flow_end_scope,
         wire.packet_decode, wire.dns_parse, wire.tcp_reassembly, wire.netflow_decode, wire.plugin_udtf,
     )
-}
+} | catalog_wire.QUERIES
 
 ORACLE = {
     "stats_summary": _report_sql("list_concat(['all matched packets'], CASE WHEN fragmented THEN ['ip fragments'] ELSE [] END, path[2:])"),
@@ -328,6 +371,7 @@ ORACLE = {
     "stats_ports": _report_sql("[proto || '/' || dst_port]", "ORDER BY packets DESC, name LIMIT 10"),
     "flow_sessionize_idle": _IDLE_SQL,
     "flow_totals": _TOTALS_SQL,
+    "flow_sessionize_active": _ACTIVE_SQL,
     "intel_exact": _EXACT_SQL,
     "intel_cidr": _CIDR_SQL,
     "intel_rule": _RULE_SQL,
@@ -349,4 +393,4 @@ ORACLE = {
     "tcp_reassembly": wire.TCP_REASSEMBLY,
     "netflow_decode": wire.NETFLOW_DECODE,
     "plugin_udtf": f"WITH {OBSERVATIONS_SQL} {wire.PLUGIN}",
-}
+} | catalog_wire.ORACLE

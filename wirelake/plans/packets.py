@@ -171,11 +171,17 @@ def compatible(source: str) -> Column:
     return out
 
 
+#: Byte expressions: where their layer begins in the datagram.
+_BYTES = re.compile(r"(ip6?|tcp|udp|icmp)\[\s*(\d+)\s*(?::\s*([124])\s*)?\](?:\s*&\s*(0x[0-9a-fA-F]+|\d+))?\s*(<=|>=|==|=|!=|<|>)\s*(0x[0-9a-fA-F]+|\d+)")
+
+
 class _Capture:
-    """``[src|dst] host|net|port|portrange VALUE``, protocols, and, or, not and parentheses."""
+    """``[src|dst] host|net|port|portrange VALUE``, protocols, ``greater``, ``less``, bytes of a layer (``tcp[13] & 2 != 0``; they need the
+    datagram), and, or, not and parentheses."""
 
     def __init__(self, source: str) -> None:
-        self.source, self.words, self.at = source, re.findall(r"[()!]|&&|\|\||[^\s()!&|]+", source), 0
+        self.source, self.at = source, 0
+        self.words = [m[0] for m in re.finditer(_BYTES.pattern + r"|[()!]|&&|\|\||[^\s()!&|]+", source)]
 
     def take(self, *texts: str) -> str | None:
         if self.at < len(self.words) and self.words[self.at] in texts:
@@ -206,6 +212,13 @@ class _Capture:
                 raise QuerySyntaxError("expected )", self.source, len(self.source), len(self.source))
             return out
         first = self.word()
+        if m := _BYTES.fullmatch(first):
+            return self.bytes_of(*m.groups())
+        if first in ("greater", "less"):
+            n = self.word()
+            if not n.isdigit():
+                raise QuerySyntaxError(f"{n} is no length", self.source)
+            return F.col("original_len") >= int(n) if first == "greater" else F.col("original_len") <= int(n)
         if first in ("ip", "ip6", "icmp6", *TRANSPORTS[:3]):
             name = {"ip6": "ipv6", "icmp6": "icmpv6"}.get(first, first)
             test = family(GUARDED[name]) if name in GUARDED else _false(F.col("proto") == name)
@@ -215,6 +228,20 @@ class _Capture:
             return _false(F.col("link_proto") == first)
         return self.primitive(first)
 
+    def bytes_of(self, layer: str, at: str, size: str | None, mask: str | None, op: str, value: str) -> Column:
+        """Numbers in a layer of a packet that is whole; in IPv6 a transport layer is found behind no extension."""
+        six = F.col("src_ip").contains(":")
+        first = F.conv(F.hex(F.substring("datagram", 1, 1)), 16, 10).cast("int")
+        start = F.when(six, F.lit(40)).otherwise(first % 16 * 4) if layer not in ("ip", "ip6") else F.lit(0)
+        part = F.substr("datagram", start + int(at) + 1, F.lit(int(size or 1)))
+        number = F.when(F.octet_length(part) == int(size or 1), F.conv(F.hex(part), 16, 10).cast("bigint"))
+        if mask is not None:
+            number = number.bitwiseAND(F.lit(int(mask, 0)).cast("bigint"))
+        right = F.lit(int(value, 0)).cast("bigint")
+        test = {"=": number == right, "==": number == right, "!=": number != right, "<": number < right, "<=": number <= right, ">": number > right, ">=": number >= right}[op]
+        of = {"ip": ~six, "ip6": six}.get(layer, (F.col("proto") == layer) & ~F.coalesce("fragmented", F.lit(False)))
+        return _false(of & test)
+
     def primitive(self, first: str) -> Column:
         sides = ("src", "dst")
         if first in sides:
@@ -286,6 +313,46 @@ def _test(text: str, syntax: str, now_ms: int | None) -> Column:
         raise first from None
 
 
+#: EtherTypes of VLAN tags, IPv4 and IPv6.
+TAGS, IP4, IP6 = ("8100", "88A8", "9100"), "0800", "86DD"
+
+
+def ethernet_hint(node: P.Node) -> Column | None:
+    """A condition on the bytes (``data``) of an Ethernet frame that every match of the predicate fulfils; null for none.
+
+    Only addresses, blocks and protocols that must be so narrow; what else there is, and a negation, widens.
+    """
+    if isinstance(node, P.All):
+        known = [h for h in map(ethernet_hint, node.parts) if h is not None]
+        return reduce(Column.__and__, known) if known else None
+    if isinstance(node, P.Any):
+        known = [ethernet_hint(x) for x in node.parts]
+        return None if any(h is None for h in known) else reduce(Column.__or__, known)
+    if not isinstance(node, (P.Compare, P.InBlock)):
+        return None
+    hexed = lambda at, n: F.hex(F.substring("data", at + 1, n))
+    if isinstance(node, P.Compare) and node.field.column == "proto" and node.op == "==" and node.value in NUMBER_OF:
+        return (hexed(12, 2) == IP6) | (hexed(12, 2) == IP4) & (hexed(23, 1) == f"{NUMBER_OF[node.value]:02X}")
+    if node.field.column in ("src_ip", "dst_ip") and (isinstance(node, P.InBlock) or node.op == "=="):
+        lo, hi = net.cidr_keys(node.block) if isinstance(node, P.InBlock) else (net.ip_key_of(node.value),) * 2
+        side = node.field.column == "dst_ip"
+        at, n, kind = (26 + 4 * side, 4, IP4) if lo[0] == "4" else (22 + 16 * side, 16, IP6)
+        return (hexed(12, 2) == kind) & hexed(at, n).between(lo[1:].upper(), hi[1:].upper())
+    return None
+
+
+def prefiltered(records: DataFrame, text: str, now_ms: int | None = None) -> DataFrame:
+    """Capture records less those that cannot match, told by their bytes before anything is decoded; the filter itself decides later.
+    Frames with VLAN tags and of other links all stay."""
+    try:
+        hint = ethernet_hint(P.parse(text, now_ms))
+    except QuerySyntaxError:
+        return records
+    if hint is None:
+        return records
+    return records.where((F.col("linktype") != 1) | F.hex(F.substring("data", 13, 2)).isin(*TAGS) | hint)
+
+
 _QUERY_WORDS = re.compile(r"(?<![\w.])(?:bytes|packets|where)(?![\w.])|(?<![\w.])(?:flow|event|conversation|identity)\.")
 
 

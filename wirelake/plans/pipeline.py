@@ -225,6 +225,12 @@ def query(events: DataFrame, text: str, now_ms: int | None = None, result_rows:
     return out.limit(result_rows) if result_rows is not None else out
 
 
+def flows(events: DataFrame, text: str, now_ms: int | None = None, result_rows: int | None = RESULT_ROWS) -> DataFrame:
+    """The query over ended flows only, whatever it asks; a condition like any other, so it prunes partitions of a store."""
+    ended = events.where(F.col("event") == "flow.end") if "event" in events.columns else events
+    return query(ended.where(F.col("event_type") == "flow.end"), text, now_ms, result_rows)
+
+
 def matching(events: DataFrame, text: str, now_ms: int | None = None) -> DataFrame:
     """The rows that match a bare predicate."""
     return visible(with_virtual(with_keys(events), text).where(P.to_column(P.parse(text, now_ms)))).select(*events.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wirelake.errors import QuerySyntaxError
+from wirelake.functions.tables import written
 from wirelake.operators.enrich import notice_gate
 from wirelake.plans import pipeline
 from wirelake.plans import predicate as P
@@ -156,9 +157,18 @@ def effects(events: DataFrame, program: Program) -> DataFrame:
 
 
 def metric_totals(found: DataFrame, order: tuple[str, ...] = ("timestamp_ms", "event_id", "rule_rank", "action_index")) -> DataFrame:
-    """The metric effects with the running total of their name."""
-    by = W.partitionBy("label").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return found.where(F.col("effect") == "policy.metric").withColumn("total", F.sum("increment").over(by).cast("bigint"))
+    """The metric effects with the running total of their name.
+
+    Totals run inside ranges of the order; each begins with the sums of the ranges before, so that a name is never in one task.
+    """
+    rows = found.where(F.col("effect") == "policy.metric")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "metrics")
+    sums = ranged.groupBy("label", "_part").agg(F.sum("increment").alias("_sum"))
+    earlier = W.partitionBy("label").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("label", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))  # names times partitions
+    own = W.partitionBy("label", "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(before), ["label", "_part"]).withColumn("total", (F.col("_before") + F.sum("increment").over(own)).cast("bigint")).drop("_part", "_before")
 
 
 def gated(found: DataFrame) -> DataFrame:

@@ -222,22 +222,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def records_of_files(spark: SparkSession, path: str) -> DataFrame:
     """The same rows by Spark's own file reading, for captures in any store; one capture fits a task's memory."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.RECORD.fields)
+    return records_of_contents(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def records_of_contents(files: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Records of captures whose bytes are in ``content``, with the columns ``keep`` of their rows."""
+    kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields if f.name in keep] + [f"{f.name} {f.dataType.simpleString()}" for f in schema.RECORD.fields])
+    names = [*keep, *schema.RECORD.fieldNames()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
+            for *own, content in pdf[[*keep, "content"]].itertuples(index=False):
                 data = bytes(content)
                 source, rows = source_of(data), []
                 for r in records(data):
-                    rows.append(_row(r, source))
+                    rows.append((*own, *_row(r, source)))
                     if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=schema.RECORD.fieldNames())
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-                yield pd.DataFrame(rows, columns=schema.RECORD.fieldNames())
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.mapInPandas(run, kinds)
+    return files.select(*keep, "content").mapInPandas(run, kinds)
 
 
 def counters(rows: DataFrame) -> dict[str, int]:
@@ -246,6 +251,20 @@ def counters(rows: DataFrame) -> dict[str, int]:
     return r.asDict()
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """One row on decoded records: how many there are of each kind, their bytes, and the time from the first to the last."""
+    us = F.floor(F.col("timestamp_ns") / 1000).cast("bigint")
+    return rows.agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("kind") == "packet").alias("ip_packets"),
+        F.count_if(F.col("kind").isin("link", "other")).alias("skipped_non_ip"),
+        F.count_if(F.col("kind") == "malformed").alias("malformed"),
+        F.coalesce(F.sum("original_len"), F.lit(0)).cast("bigint").alias("bytes"),
+        F.min(us).alias("first_us"),
+        F.max(us).alias("last_us"),
+    )
+
+
 def export(rows: DataFrame, path: str, most: int = 4096) -> int:
     """Writes records (``most`` at most) to a new nanosecond capture, in order; all have one link type and a time."""
     found = rows.orderBy("source", "sequence").limit(most + 1).collect()

@@ -21,6 +21,11 @@ def bad(what: str) -> DecodeError:
     return DecodeError("DNS", what)
 
 
+def escaped(data: bytes) -> str:
+    """Letters, digits, hyphens and underscores as they are, any other byte as a backslash and three decimal digits."""
+    return "".join(chr(c) if c < 128 and chr(c).isalnum() or c in b"-_" else f"\\{c:03d}" for c in data)
+
+
 def dns_name(data: bytes, at: int) -> tuple[str, int]:
     """A name with its dot at the end, and where it ends; pointers lead backwards only."""
     labels, end, jumps, total, limit = [], None, 0, 0, at
@@ -46,7 +51,7 @@ def dns_name(data: bytes, at: int) -> tuple[str, int]:
             total += n + 1
             if len(label) < n or total > 254:
                 raise bad("a label too long")
-            labels.append("".join(chr(c) if 33 <= c <= 126 and c not in b'.\\"' else f"\\{c:03d}" if c not in b".\\" else f"\\{chr(c)}" for c in label))
+            labels.append(escaped(label))
             at += n + 1
 
 
@@ -69,7 +74,7 @@ def _value(data: bytes, kind: int, at: int, n: int) -> dict:
         while k < n:
             if k + 1 + raw[k] > n:
                 raise bad("a text is not its record's length")
-            texts.append("".join(chr(c) if 32 <= c <= 126 and c != 92 else f"\\{c:03d}" for c in raw[k + 1 : k + 1 + raw[k]]))
+            texts.append(escaped(raw[k + 1 : k + 1 + raw[k]]))
             k += 1 + raw[k]
         return {"type": "txt", "value": "".join(texts)}
     if kind in (1, 28):

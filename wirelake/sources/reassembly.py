@@ -496,9 +496,7 @@ EVENT_NAMES = [x.split()[0] for x in EVENTS.split(", ")]
 def analyze(records: DataFrame, dns_ports: tuple[int, ...] = (53,), files: bool = True) -> DataFrame:
     """Application events and anomalies of decoded records (decode_records with bytes), as EVENTS rows."""
     us = F.floor(F.col("timestamp_ns") / 1000).cast("bigint") if "us" not in records.columns else F.col("us")
-    timed = flows.with_watermark(records.withColumn("us", us), "us")
-    end = timed.groupBy("source").agg(F.max("us").alias("wm_end"))
-    timed = timed.join(end, "source")
+    timed = flows.with_watermark(records.withColumn("us", us), "us").drop("_range")
     whole = timed.where((F.col("kind") == "packet") & ~F.col("fragmented")).withColumn("refs", F.array("sequence").cast("array<bigint>"))
     again = reassemble(timed)
     names = ["source", "section", "interface", "sequence", "linktype", "us", "wm", "wm_end", "refs", *decode.NAMES]
