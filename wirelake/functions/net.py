@@ -46,19 +46,32 @@ def _padded(groups: Column) -> Column:
     return F.array_join(F.transform(groups, lambda g: F.lower(F.lpad(g, 4, "0"))), "")
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def ip_key(text: Column) -> Column:
     """Key of an address text; null for what is none."""
+    return F.when(text.rlike(V4), F.concat(F.lit("4"), _v4_hex(text))).when(text.rlike(V6), once(text, _v6_key))
+
+
+def _v6_key(text: Column) -> Column:
     tail = F.regexp_extract(text, rf"({_OCTET}(?:\.{_OCTET}){{3}})$", 1)
-    dotted = F.when(text.contains("."), _v4_hex(tail))
-    plain = F.when(dotted.isNull(), text).otherwise(
-        F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.substr(dotted, F.lit(1), F.lit(4)), F.lit(":"), F.substr(dotted, F.lit(5), F.lit(4)))
-    )
-    halves = F.split(plain, "::")
-    left, right = _groups(F.element_at(halves, 1)), F.when(F.size(halves) > 1, _groups(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
-    given = F.size(left) + F.size(right)
-    fits = F.when(F.size(halves) > 1, given < 8).otherwise(given == 8)
-    six = F.concat(F.lit("6"), _padded(left), F.repeat(F.lit("0000"), F.lit(8) - given), _padded(right))
-    return F.when(text.rlike(V4), F.concat(F.lit("4"), _v4_hex(text))).when(text.rlike(V6) & fits, six)
+    grouped = once(tail, lambda t: once(_v4_hex(t), lambda h: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(t)), F.substr(h, F.lit(1), F.lit(4)), F.lit(":"), F.substr(h, F.lit(5), F.lit(4)))))
+    plain = F.when(text.contains("."), grouped).otherwise(text)
+
+    def whole(halves: Column) -> Column:
+        left, right = _groups(F.element_at(halves, 1)), F.when(F.size(halves) > 1, _groups(F.element_at(halves, -1))).otherwise(F.array().cast("array<string>"))
+
+        def key(g: Column) -> Column:
+            given = F.size(g["l"]) + F.size(g["r"])
+            fits = F.when(F.size(halves) > 1, given < 8).otherwise(given == 8)
+            return F.when(fits, F.concat(F.lit("6"), _padded(g["l"]), F.repeat(F.lit("0000"), F.lit(8) - given), _padded(g["r"])))
+
+        return once(F.struct(left.alias("l"), right.alias("r")), key)
+
+    return once(F.split(plain, "::"), whole)
 
 
 def in_cidr(key: Column, block: str) -> Column:
@@ -81,11 +94,6 @@ def ms_of_ns(ns: Column) -> Column:
     return F.when((ns >= -limit) & (ns <= limit), floored)
 
 
-def once(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -102,13 +110,12 @@ IN_PATH, IN_QUERY, NO_HOST = r"[^\x21-\x7E]|[\"<>`#?{}]", r"[^\x21-\x7E]|[\"#<>'
 
 def _encoded(text: Column, these: str) -> Column:
     """Characters of the pattern as the bytes of their UTF-8, percent-encoded."""
-    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(these), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c))
-    return F.when(text.rlike(these), F.array_join(letters, "")).otherwise(text)
+    letter = lambda c: F.when(c.rlike(these), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c)
+    return once(text, lambda t: F.when(t.rlike(these), F.array_join(F.transform(F.split(t, ""), letter), "")).otherwise(t))
 
 
 def _path(text: Column) -> Column:
     """The path without dot segments, percent-encoded; backslashes are slashes."""
-    parts = F.split(F.regexp_replace(F.translate(text, "\\", "/"), "^/", ""), "/")
 
     def walk(parts: Column) -> Column:
         kinds = F.transform(parts, lambda p, i: F.struct(p.alias("p"), F.regexp_replace(F.lower(p), "%2e", ".").alias("d"), (i == F.size(parts) - 1).alias("last")))
@@ -118,11 +125,11 @@ def _path(text: Column) -> Column:
             up = F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
             return F.when(x["d"] == "..", F.concat(up, end)).when(x["d"] == ".", F.concat(done, end)).otherwise(F.concat(done, F.array(x["p"])))
 
-        return F.aggregate(kinds, F.array().cast("array<string>"), step)
+        return F.array_join(F.aggregate(kinds, F.array().cast("array<string>"), step), "/")
 
-    dotted = parts.cast("string").rlike(r"(?i)(?:^\[|, )(?:\.|%2e)")
-    walked = F.when(dotted, once(parts, walk)).otherwise(parts)
-    return _encoded(F.concat(F.lit("/"), F.array_join(walked, "/")), IN_PATH)
+    slashed = F.regexp_replace(F.translate(text, "\\", "/"), "^/", "")
+    walked = once(slashed, lambda t: F.when(t.rlike(r"(?i)(?:^|/)(?:\.|%2e)"), once(F.split(t, "/"), walk)).otherwise(t))
+    return _encoded(F.concat(F.lit("/"), walked), IN_PATH)
 
 
 def _v4_host(host: Column) -> Column:
@@ -144,14 +151,19 @@ def _v4_host(host: Column) -> Column:
 
 def _v6_host(host: Column) -> Column:
     """The shortest text of a bracketed address; null if it is none."""
-    key = ip_key(F.substr(host, F.lit(2), F.length(host) - 2))
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substr(key, k * 4 + 2, F.lit(4)), "^0{1,3}", ""))
-    text = F.array_join(groups, ":")
-    short = text
-    for n in range(2, 9):  # the longest run of zeros, the first of equal ones
-        run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
-        short = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(short)
-    return F.when(key.startswith("6") & host.endswith("]"), F.concat(F.lit("["), short, F.lit("]")))
+
+    def shortest(text: Column) -> Column:
+        short = text
+        for n in range(2, 9):  # the longest run of zeros, the first of equal ones
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+            short = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(short)
+        return short
+
+    def shown(key: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substr(key, k * 4 + 2, F.lit(4)), "^0{1,3}", ""))
+        return F.when(key.startswith("6"), F.concat(F.lit("["), once(F.array_join(groups, ":"), shortest), F.lit("]")))
+
+    return F.when(host.endswith("]"), once(ip_key(F.substr(host, F.lit(2), F.length(host) - 2)), shown))
 
 
 def _host(raw: Column) -> Column:
