@@ -1,15 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of the learned vectors of its words and of their character n-grams, all
-hashed into one table, and, for a fixed share, of pseudo-words that name the bins of its length, of the share of
-words that repeat the word before and of the share of distinct words; a softmax layer over the average gives the probability of each label. Vectors and
+hashed into one table, and, for a fixed share (``SHAPE``), of three pseudo-words that name the bins of its length, of the share of
+words that repeat the word before and of the share of distinct words, which are counts beside the method's n-grams; a softmax layer over the average gives the probability of each label. Vectors and
 layer are trained together by seeded stochastic gradient descent in numpy on the driver, over a bounded
-sample of labelled rows (``max_docs``, a parameter). As the layer is linear, a document's score is the
+sample of labelled rows (``max_docs``, a parameter, and of each text the first ``FIT_CHARS`` characters). As the layer is linear, a document's score is the
 average of its words' scores, so each worker remembers the scores of words it has met. Every text is
 scored whole.
 
-Edge cases: null and empty texts get the score of no words (the bias); labels that are null, repeated or
-without a document are dropped or count each for itself; if no row or one class only is labelled, every
+Edge cases: null and empty texts get the score of no words (the bias); labels that are null or without a document are dropped, a
+label that is repeated counts once, and both labels of a document that has both count; if no row or one class only is labelled, every
 score is that class's share (0.5 without labels); rows with null doc_id are scored and not learnt from;
 repeated rows give equal rows; an empty table gives an empty result. Columns other than the named ones are
 ignored.
@@ -35,6 +35,8 @@ from wirelake.llm.common import fold
 GRAMS = (3, 4)
 #: Words remembered by a worker; the longest remembered; characters of a word from which n-grams are taken at a time.
 MEMO, MEMO_CHARS = 150_000, 48
+#: Characters of a text that are learnt from.
+FIT_CHARS = 200_000
 #: Share of the pseudo-words in a document's average.
 SHAPE = 0.3
 
@@ -153,17 +155,19 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 16, di
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, max_docs: int, seed: int = 0) -> tuple[list[str | None], list[int]]:
     """Texts and labels of about ``max_docs`` labelled rows, chosen by hash of doc_id, in a fixed order."""
-    rows = labels.where(learn & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
-    n = rows.count()
+    marked = labels.where(learn & F.col(label).isNotNull()).select("doc_id", (F.col(label).cast("int") == 1).cast("int").alias("_label")).distinct()
+    n = marked.count()
     if not n:
         return [], []
     scale = 1 << 40
     limit = min(scale, math.ceil(scale * max_docs / n))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < limit)
-    # About max_docs narrow rows, so their broadcast is bounded by the parameter.
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").collect()
+    chosen = marked.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(scale)) < limit)
+    # About max_docs narrow rows, as no id has more than two, so their broadcast is bounded by the parameter; so is what the driver gets,
+    # however often an id stands in the documents.
+    met = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
+    got = met.orderBy(F.xxhash64(F.lit(seed), "doc_id", "_label", "text")).limit(2 * max_docs).collect()
     got.sort(key=lambda r: (r["doc_id"], r["_label"], r["text"] or ""))
-    return [r["text"] for r in got], [int(r["_label"] == 1) for r in got]
+    return [r["text"] for r in got], [r["_label"] for r in got]
 
 
 _MODELS: dict[str, Model] = {}
