@@ -5,8 +5,8 @@ Sizes are summed by source, targets are proportional to the weights, a source wh
 is above. A source that is to be read e times gives every document floor(e) whole repetitions; the
 fractional repetition goes to the documents that come first in a seeded hash order, up to the point
 where their sizes sum to the fraction. That point is found from a histogram of hash buckets, and only
-the documents of each source's one boundary bucket are put in order, so no source is ever gathered in
-one task however large it is.
+the documents of each source's one boundary bucket are put in order: of a source whose documents have ids of their own, one of
+``BUCKETS`` parts. Rows with one doc_id and size (repeated ones, null ids) share a bucket.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; documents of
 size 0 take 0 words; repeated rows count each for itself; an empty table gives an empty result. Columns
