@@ -245,12 +245,19 @@ def has_any(low: Column, grams: list[str]) -> Column:
     return found
 
 
+def is_indexed(text: Column, rules: list[Rule]) -> Column:
+    """Whether a text may be a candidate; it is lower-cased once."""
+    return let(F.lower(text), lambda low: has_any(low, leads(rules)))
+
+
 def postings(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """The index, as rows (trigram, text): the rules' trigrams, in either case, of the texts that may be candidates; texts by hash."""
-    low = docs.select(F.xxhash64(text).alias("text"), F.lower(text).alias("_low")).where(has_any(F.col("_low"), leads(rules)))
     grams = sorted({g for q in queries_of(rules).values() for a in q for g in a})
-    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))
-    return low.select(F.explode(held).alias("trigram"), "text")
+
+    def held(low: Column) -> Column:
+        return F.when(has_any(low, leads(rules)), F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])))
+
+    return docs.select(F.xxhash64(text).alias("text"), F.explode(let(F.lower(text), held)).alias("trigram")).select("trigram", "text")
 
 
 def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -308,7 +315,7 @@ def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """_row (all columns of ``docs``), and _spans: every rule's spans in its text by start, then in the rules' order."""
     queries = queries_of(rules)
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_body"))
-    indexed = has_any(F.lower("_body"), leads(rules)) if queries else F.lit(False)
+    indexed = is_indexed(F.col("_body"), rules) if queries else F.lit(False)
     found = written(candidates(postings(docs.where("text is not null").select("text"), rules), rules), "secret-candidates") if queries else None
 
     def verified(part: DataFrame, known: list[int]) -> DataFrame:
