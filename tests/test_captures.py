@@ -210,6 +210,7 @@ def test_sessions_equal_the_sequential_fold(spark, monkeypatch, flags, hot):
     """Also with keys so hot that they are cut by ranges of the capture."""
     if hot:
         monkeypatch.setattr(flows, "HOT", 100)
+        monkeypatch.setattr(flows, "RANGE", 64)
     rng = Random(3)
     rows, us = [], 0
     for seq in range(1, 1500):

@@ -1,8 +1,7 @@
 """Bidirectional flows with idle and active timeouts, TCP closes and reuse.
 
 A flow's fold depends on other flows only through the watermark, the greatest time seen so far in capture order. So
-the watermark at each packet is computed first (in ranges of the sequence, each led by the maximum of those before,
-never in one task), and every key folds by itself, cut into runs: a packet that follows the one before it in its key by the idle time
+the watermark at each packet is computed first (in ranges of the sequence, each led by the maximum of those before, never in one task), and every key folds by itself, cut into runs: a packet that follows the one before it in its key by the idle time
 or more, with the watermark past both, always opens a flow. A key of more than ``HOT`` packets (one may hold a third of them) is cut into
 the same ranges before it is sorted, and its ranges carry over what they need.
 
@@ -21,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wirelake.functions import net
+from wirelake.functions.tables import written
 
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
@@ -61,33 +61,43 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
-#: Packets of a key from which on it is cut before it is sorted; sources up to which their ends are broadcast.
-HOT, BROADCAST_SOURCES = 1_000_000, 100_000
+#: Packets of a key from which on it is cut before it is sorted; packets of a range of the capture order; ranges up to which what they begin
+#: with is broadcast.
+HOT, RANGE, BROADCAST_RANGES = 1_000_000, 16_384, 100_000
 
 
-def source_ends(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
-    """(source, first and last sequence, wm_end), to be joined, and the number of packets."""
-    ends = packets.groupBy("source").agg(F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"), F.max(time).alias("wm_end"), F.count("*").alias("_n"))
-    few = ends.limit(BROADCAST_SOURCES + 1).collect()
-    if len(few) <= BROADCAST_SOURCES:
-        return F.broadcast(packets.sparkSession.createDataFrame(few, ends.schema).drop("_n")), sum(r["_n"] for r in few)
-    return ends.drop("_n"), HOT + 1
+def range_of(width: int | None = None) -> Column:
+    return F.floor(F.col("sequence") / (width or RANGE)).cast("bigint")
 
 
-def with_watermark(packets: DataFrame, time: str = "us", ranges: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+def capture_ranges(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
+    """(source, _range, _before, wm_end), to be joined: the greatest time before each range and of all; and the number of packets."""
+    tops = packets.groupBy("source", range_of().alias("_range")).agg(F.max(time).alias("_top"), F.count("*").alias("_n"))
+    few = tops.limit(BROADCAST_RANGES + 1).collect()
+    if len(few) > BROADCAST_RANGES:
+        by = W.partitionBy("source")
+        return tops.select("source", "_range", F.max("_top").over(by.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.max("_top").over(by).alias("wm_end")), HOT + 1
+    rows, before, end = [], {}, {}
+    for r in few:
+        if r["_top"] is not None:
+            end[r["source"]] = max(end.get(r["source"], r["_top"]), r["_top"])
+    for r in sorted(few, key=lambda r: r["_range"]):
+        known = before.get(r["source"])
+        rows.append((r["source"], r["_range"], known, end.get(r["source"])))
+        if r["_top"] is not None:
+            before[r["source"]] = r["_top"] if known is None else max(known, r["_top"])
+    return F.broadcast(packets.sparkSession.createDataFrame(rows, "source string, _range bigint, _before bigint, wm_end bigint")), sum(r["_n"] for r in few)
+
+
+def with_watermark(packets: DataFrame, time: str = "us", ranges: DataFrame | None = None) -> DataFrame:
     """``packets`` with wm, the greatest time up to each in capture order of its source, wm_end, the greatest of all, and _range.
 
     Sequences are cut into equal ranges; a range's own running maximum joins the maximum of those before it.
     """
-    spark = packets.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    rows = packets.join(ends if ends is not None else source_ends(packets, time)[0], "source")
-    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / n))
-    rows = rows.withColumn("_range", F.floor((F.col("sequence") - F.col("_lo")) / width).cast("int"))
-    tops = rows.groupBy("source", "_range").agg(F.max(time).alias("_top"))  # n rows a source at most
-    before = tops.select("source", "_range", F.max("_top").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    found = ranges if ranges is not None else capture_ranges(packets, time)[0]
+    rows = packets.withColumn("_range", range_of()).join(found, ["source", "_range"])
     own = W.partitionBy("source", "_range").orderBy("sequence").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("_own", F.max(time).over(own)).join(before, ["source", "_range"]).withColumn("wm", F.greatest("_own", "_before")).drop("_lo", "_hi", "_own", "_before")
+    return rows.withColumn("wm", F.greatest(F.max(time).over(own), F.col("_before"))).drop("_before")
 
 
 @dataclass
@@ -173,8 +183,8 @@ class Folder:
 def foldable(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
     """Packets that take part in flows, keyed, with watermark and the last watermark of their source; and the number of all."""
     keyed = with_flow_key(packets)
-    ends, n = source_ends(keyed, time)
-    rows = with_watermark(keyed, time, ends=ends)
+    ranges, n = capture_ranges(keyed, time)
+    rows = with_watermark(keyed, time, ranges)
     rows = rows.where(~F.coalesce("fragmented", F.lit(False)) & F.col("proto").isin("tcp", "udp") & F.col(time).isNotNull())
     if "tcp_sequence" not in rows.columns:
         rows = rows.withColumn("tcp_sequence", F.lit(None).cast("long"))
@@ -263,7 +273,7 @@ def _runs(packets: DataFrame, timeouts: Timeouts, time: str) -> tuple[DataFrame,
     """Packets of flows with their runs, and the runs' sums."""
     rows, n = foldable(packets, time)
     rows = with_runs(rows, timeouts, time, HOT if n > HOT else None).select("source", *KEY, "run", F.col(time).alias("us"), *_NEEDED)
-    return rows, run_sums(rows, timeouts)
+    return rows, written(run_sums(rows, timeouts), "flow-runs")
 
 
 def _ordered(rows: DataFrame, runs: DataFrame) -> DataFrame:
@@ -307,9 +317,9 @@ def sessionize(packets: DataFrame, timeouts: Timeouts = Timeouts(), time: str =
 
     kinds = {f.name: f.dataType.simpleString() for f in odd.schema.fields}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in ("source", *KEY, "conversation_id")], ENDED])
-    folded = odd.mapInPandas(run, schema)
-    plain = runs.where("plain").withColumn("conversation_id", conversation_id()).select(*folded.columns)
-    return plain.unionByName(folded).withColumn("tcp_state", tcp_state()).withColumn("flow_id", flow_id())
+    plain = runs.where("plain").withColumn("conversation_id", conversation_id()).select("source", *KEY, "conversation_id", *cells)
+    out = plain if runs.where("not plain").isEmpty() else plain.unionByName(odd.mapInPandas(run, schema))
+    return out.withColumn("tcp_state", tcp_state()).withColumn("flow_id", flow_id())
 
 
 def assign(packets: DataFrame, timeouts: Timeouts = Timeouts(), time: str = "us") -> DataFrame:
@@ -321,6 +331,8 @@ def assign(packets: DataFrame, timeouts: Timeouts = Timeouts(), time: str = "us"
             yield pd.DataFrame(assigned, columns=["source", "sequence", "first_sequence"])
 
     plain = rows.join(runs.where("plain").select("source", *KEY, "run", "first_sequence"), ["source", *KEY, "run"]).select("source", "sequence", "first_sequence")
+    if runs.where("not plain").isEmpty():
+        return plain
     return plain.unionByName(_ordered(rows, runs).mapInPandas(run, "source string, sequence long, first_sequence long"))
 
 
