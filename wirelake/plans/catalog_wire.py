@@ -397,6 +397,27 @@ _STORE_SQL = f"""WITH {OBSERVATIONS_SQL} SELECT src_ip, count(*) AS count, sum(p
 WHERE event_type = 'click' AND src_ip LIKE '10.0.0.%' AND split_part(src_ip, '.', 4)::INT < 128 AND bytes > 1024 GROUP BY ALL"""
 
 
+def hot_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store, and a journal that holds one batch that is in it and one that is not yet."""
+    import uuid
+
+    from wirelake.functions.tables import shared_dir
+    from wirelake.sources import store as stores
+
+    folder = f"{shared_dir(spark)}/hot-{uuid.uuid4().hex}"
+    store = Store(spark, f"{folder}/store")
+    o = observations(spark, sf_dir)
+    store.append(o.where("event_type = 'view'"), "a" * 64)
+    stores.append_hot(o.where("event_type = 'view'"), f"{folder}/hot", "a" * 64)
+    stores.append_hot(o.where("event_type in ('click', 'error')"), f"{folder}/hot", "b" * 64)
+    hot = stores.hot_journal(spark, f"{folder}/hot")
+    both = stores.with_hot(store.events().select("batch", *hot.drop("batch").columns), hot)
+    return both.groupBy("batch", "event_type").agg(F.count("*").alias("count"), F.sum("bytes").cast("bigint").alias("bytes"), F.count("dst_ip").alias("with_target"))
+
+
+_JOURNAL_SQL = f"""WITH {OBSERVATIONS_SQL} SELECT CASE WHEN event_type = 'view' THEN repeat('a', 64) ELSE repeat('b', 64) END AS batch, event_type, count(*) AS count, sum(bytes)::BIGINT AS bytes, count(dst_ip) AS with_target FROM obs WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL"""
+
+
 def flow_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of several packets, and the one instance that all of these belong to."""
     p = made_packets(spark, sf_dir).select("sequence", F.lit("made").alias("source"), F.floor(F.col("sequence") / 20).alias("first_sequence")).where("sequence % 10 <> 5")
@@ -447,12 +468,16 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.export_rows(full, "s1").select("event_type", "identity_status", "sensor", "source", "timestamp_ms", "timestamp_ns", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "packets", "bytes")
 
 
-def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy notices through the gate."""
+def counters_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a policy as exposition text, a line each."""
     from wirelake.plans.catalog_operators import PROGRAM
 
-    found = policy.effects(observations(spark, sf_dir), policy.parse(PROGRAM))
-    return policy.gated(found).groupBy("effect").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    text = policy.prometheus(policy.effects(observations(spark, sf_dir), policy.parse(PROGRAM)))
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+_COUNTERS_SQL = f"""WITH {OBSERVATIONS_SQL} SELECT 'wirelake_policy_large_purchases_total ' || count(*) AS line FROM obs WHERE event_type = 'purchase' AND bytes >= 10240
+UNION ALL SELECT 'wirelake_policy_watched_bytes_total ' || 3 * count(*) FROM obs WHERE src_ip LIKE '10.0.0.%' AND split_part(src_ip, '.', 4)::INT < 8 AND NOT (proto = 'tcp')"""
 
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +496,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pcap_read, pcapng_read, ingest_summary, link_frames, tls_hello, http_file, ssh_banner, ip_fragments, dns_escape, json_odd, url_odd, domain_odd, texts, notice_rate, suppressed_notices, evidence_merge, stats_count, rrsets,
-        prefilter, capture_filter_bytes, module_gate, store_roundtrip, flow_anchor, json_rows, intel_field, export_rows, related,
+        prefilter, capture_filter_bytes, module_gate, store_roundtrip, hot_journal, flow_anchor, json_rows, intel_field, export_rows, counters_text, related,
     )
 } | {
     "netflow_v9": _export(9),
@@ -485,7 +510,7 @@ ORACLE = {
     "pcap_read": _PCAP_SQL, "pcapng_read": _PCAPNG_SQL, "ingest_summary": _SUMMARY_SQL, "link_frames": _LINK_SQL, "tls_hello": _TLS_SQL, "http_file": _FILE_SQL, "ssh_banner": _SSH_SQL, "ip_fragments": _FRAGMENTS_SQL, "dns_escape": _ESCAPE_SQL,
     "json_odd": _JSON_SQL, "url_odd": f"SELECT o_orderkey, {_by_row_sql('o_orderkey', _URLS)} AS normal FROM orders", "domain_odd": f"SELECT o_orderkey, {_by_row_sql('o_orderkey', _DOMAINS)} AS normal FROM orders", "texts": _TEXTS_SQL,
     "notice_rate": _RATE_SQL, "suppressed_notices": f"SELECT count(*) AS suppressed FROM ({_RATE_SQL}) WHERE NOT passed HAVING count(*) > 0", "evidence_merge": _MERGE_SQL, "stats_count": _COUNT_SQL, "rrsets": _RRSETS_SQL, "module_gate": _GATE_SQL,
-    "store_roundtrip": _STORE_SQL, "flow_anchor": _ANCHOR_SQL, "json_rows": _LINES_SQL, "intel_field": _FIELD_SQL, "export_rows": _EXPORT_ROWS_SQL, "related": _RELATED_SQL, "netflow_v9": _export_sql(9), "netflow_ipfix": _export_sql(10),
+    "store_roundtrip": _STORE_SQL, "hot_journal": _JOURNAL_SQL, "flow_anchor": _ANCHOR_SQL, "json_rows": _LINES_SQL, "intel_field": _FIELD_SQL, "export_rows": _EXPORT_ROWS_SQL, "counters_text": _COUNTERS_SQL, "related": _RELATED_SQL, "netflow_v9": _export_sql(9), "netflow_ipfix": _export_sql(10),
     "packet_filter": f"SELECT sequence, src_ip, dst_ip, dst_port FROM ({_filter_sql('split_part(src_ip, $$.$$, 3)::INT < 128 AND dst_port IN (54, 56) AND size >= 50')})",
     "capture_filter_bytes": f"SELECT sequence, src_ip, dst_ip, dst_port FROM ({_filter_sql('dst_port >= 55 AND size >= 60')})",
     "prefilter": f"SELECT sequence, src_ip, dst_ip, dst_port, true AS fewer FROM ({_filter_sql('split_part(src_ip, $$.$$, 3)::INT < 128 AND dst_port <> 54')})",

@@ -116,6 +116,14 @@ def with_hot(committed: DataFrame, hot: DataFrame, batch: str = "batch") -> Data
     return committed.unionByName(hot.join(known, batch, "left_anti").select(*committed.columns))
 
 
+def append_hot(rows: DataFrame, path: str, batch: str) -> None:
+    """Adds rows of a batch that is not published yet to a journal of JSON lines; each write adds files of its own, so that readers see whole
+    lines. What the store commits under the batch's id replaces them (``with_hot``)."""
+    if not re.fullmatch(r"[0-9a-f]{64}", batch):
+        raise StoreError("a batch id has 64 hex digits")
+    rows.select(F.lit(batch).alias("batch"), *schema.COLUMNS).write.mode("append").option("ignoreNullFields", "true").json(path)
+
+
 def hot_journal(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a journal of JSON lines (batch and the observation's columns); a line that is not complete is dropped."""
     kinds = T.StructType([T.StructField("batch", T.StringType()), *[T.StructField(f.name, f.dataType) for f in schema.OBSERVATION.fields], T.StructField("_corrupt", T.StringType())])
