@@ -49,7 +49,7 @@ LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE = 5
 #: Positions of a sketch, smallest hashes kept, independent trees, depths at which nodes are formed, the largest node compared
 #: exhaustively above the last depth, about the members of a block of a node, and the members from which on a node gets its second star.
-SKETCH, SMALLEST, TREES, DEPTHS, SMALL, BLOCK, CROWD = 128, 256, 14, (6, 10, 14), 2048, 128, 64
+SKETCH, SMALLEST, TREES, DEPTHS, SMALL, BLOCK, CROWD = 128, 256, 14, (6, 10, 14), 2048, 256, 64
 #: Below the first depth, branching goes by a similarity so much lower than the threshold, as a pair's sketches can agree less than
 #: its sets: then a pair is expected to share more than one child a level.
 LOWER_BELOW = 0.1
