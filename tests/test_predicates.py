@@ -49,6 +49,12 @@ def test_column_equals_sql(spark, text):
     assert ids(spark, text) == sorted(x for (x,) in c.execute(f"select id from t where {CASES[text]}").fetchall())
 
 
+@pytest.mark.parametrize("text, found", [("src.ip == 10.0.0.1", [1]), ("!(src.ip == 10.0.0.1)", [2]), ("src.ip != 10.0.0.1", [2]), ("!(ip.src == 10.0.0.1)", [2]), ("ip.src != 10.0.0.1", []), ("!(src.ip in 10.0.0.0/24)", [])])
+def test_text_that_is_no_address_equals_none(spark, text, found):
+    df = pipeline.with_keys(spark.createDataFrame([(1, "10.0.0.1"), (2, "10.0.300.7"), (3, None)], "id int, src_ip string"))
+    assert sorted(r["id"] for r in df.where(P.to_column(P.parse(text))).collect()) == found
+
+
 def test_now_is_folded_once(spark):
     assert ids(spark, "time >= now() - 1m", 61_000 + 59_000) == [1]
     assert P.parse("time > now()", 5) == P.Compare(P.field("time"), ">", 5)

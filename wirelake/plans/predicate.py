@@ -318,7 +318,9 @@ def to_column(node: Node, resolve: Resolver = F.col) -> Column:
         if isinstance(node, InBlock):
             test = net.in_cidr(key, node.block)
         else:
-            test = _number_free(key, node.op, net.ip_key_of(node.value))
+            # Text that is no address equals none: known, where there is text. The comparison of keys stays a conjunct by itself, which reaches the scan.
+            test, given = _number_free(key, node.op, net.ip_key_of(node.value)), resolve(own.column).isNotNull()
+            test = test & (key.isNotNull() | ~given) if node.op == "==" else test | (key.isNull() & given)
         return (key.startswith(str(own.family)) & test) if own.family else test
     column = resolve(own.column)
     if isinstance(node, InPorts):
