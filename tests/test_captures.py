@@ -229,6 +229,34 @@ def test_sessions_equal_the_sequential_fold(spark, monkeypatch, flags, hot):
     assert marks.count() == len(rows) and marks.select("first_sequence").distinct().count() == got.count()
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_packets_of_one_sequence_need_no_order_of_the_input(spark, monkeypatch, hot):
+    """The input comes in another order each time it is read, as blocks of a shuffle may."""
+    if hot:
+        monkeypatch.setattr(flows, "HOT", 100)
+    second, rng = 1_000_000, Random(5)
+    rows = [(1, 0, 1000 * second, True, 100, 16, None)]
+    for k in range(1, 61):
+        at = [rng.choice([100, 985, 990, 996, 998]) for _ in range(rng.randrange(2, 5))]
+        rows += [(k + 1 + n // 3, k, t * second, rng.random() < 0.5, 100 + n, rng.choice([16, 16, 4, 17]), None) for n, t in enumerate(at)]
+    rows.sort(key=lambda r: (r[0], *r[2:6]))
+
+    def shuffled(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1)
+
+    df = spark.createDataFrame(
+        [(seq, f"10.0.0.{k if fwd else 200}", f"10.0.0.{200 if fwd else k}", 5, 5, "tcp", us, size, flags, tcp_seq, False) for seq, k, us, fwd, size, flags, tcp_seq in rows],
+        "sequence long, src_ip string, dst_ip string, src_port int, dst_port int, proto string, us long, original_len long, tcp_flags int, tcp_sequence long, fragmented boolean",
+    ).coalesce(1)
+    df = df.mapInPandas(shuffled, df.schema)
+    cells = [x.split()[0] for x in flows.ENDED.split(", ")]
+    want = simple_fold(rows, 5 * second, 20 * second)
+    for _ in range(2):
+        got = flows.sessionize(df, flows.Timeouts(5 * second, 5 * second, 20 * second))
+        assert sorted((int(r["a_ip"].split(".")[-1]), *[r[c] for c in cells]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize(("times", "ends"), [([0, 4, 8, 12, 17], ["active_timeout", "idle_timeout", "eof"]), ([20, 10, 15], ["eof"])])
 def test_timeouts(times, ends):
     rows = [(k + 1, 0, t * 1_000_000, True, 1, 16, None) for k, t in enumerate(times)]

@@ -7,6 +7,9 @@ the same ranges before it is sorted, and its ranges carry over what they need.
 
 Most runs are one flow, which sums say of them: no connection is reset, closed or opened inside, and the active time does not end there.
 These are aggregated. Only the packets of the other runs are folded one by one, in tasks that hold one open flow.
+
+Packets of one sequence come in the order of all else that the fold sees of them, so that runs are the same however often and from
+whatever order of the input they are computed. Runs that hold such packets are folded.
 """
 
 from __future__ import annotations
@@ -66,6 +69,10 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
 HOT, RANGE, BROADCAST_RANGES = 1_000_000, 16_384, 100_000
 
 
+#: After sequence and time, what orders packets of one sequence of a key.
+_TIES = ("forward", "original_len", "tcp_flags", "tcp_sequence")
+
+
 def range_of(width: int | None = None) -> Column:
     return F.floor(F.col("sequence") / (width or RANGE)).cast("bigint")
 
@@ -96,7 +103,7 @@ def with_watermark(packets: DataFrame, time: str = "us", ranges: DataFrame | Non
     """
     found = ranges if ranges is not None else capture_ranges(packets, time)[0]
     rows = packets.withColumn("_range", range_of()).join(found, ["source", "_range"])
-    own = W.partitionBy("source", "_range").orderBy("sequence").rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy("source", "_range").orderBy("sequence", time).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("wm", F.greatest(F.max(time).over(own), F.col("_before"))).drop("_before")
 
 
@@ -192,7 +199,7 @@ def foldable(packets: DataFrame, time: str = "us") -> tuple[DataFrame, int]:
 
 
 def with_runs(rows: DataFrame, timeouts: Timeouts, time: str = "us", hot: int | None = None) -> DataFrame:
-    """``rows`` with run: between two runs of a key, no flow can go on.
+    """``rows`` with run, and tied: between two runs of a key, no flow can go on; a tied packet has the sequence of the one before it in its key.
 
     What is open before a packet ends by the idle time after the greatest time of its key so far; if the watermark at the
     packet has passed that, the packet begins a run. Keys of more than ``hot`` rows are cut by _range.
@@ -214,17 +221,18 @@ def with_runs(rows: DataFrame, timeouts: Timeouts, time: str = "us", hot: int |
 
 def _cut(rows: DataFrame, timeouts: Timeouts, time: str) -> DataFrame:
     idle = F.when(F.col("proto") == "tcp", F.lit(timeouts.tcp_idle)).otherwise(F.lit(timeouts.udp_idle))
-    by = W.partitionBy("source", *KEY, "_part").orderBy("sequence")
+    by = W.partitionBy("source", *KEY, "_part").orderBy("sequence", time, *_TIES)  # packets of one sequence are of one part
     latest = F.greatest(F.max(time).over(by.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
     breaks = F.coalesce(latest + idle <= F.col("wm"), F.lit(True))
-    return rows.withColumn("_break", breaks.cast("int")).withColumn("run", F.sum("_break").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_break", "_carried", "_runs")
+    tied = F.coalesce(F.lag("sequence").over(by) == F.col("sequence"), F.lit(False))
+    return rows.withColumns({"_break": breaks.cast("int"), "tied": tied}).withColumn("run", F.sum("_break").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_break", "_carried", "_runs")
 
 
 def run_sums(rows: DataFrame, timeouts: Timeouts, time: str = "us") -> DataFrame:
     """For each run the flow that it is, if it is one, and plain: whether it is.
 
     A run is one flow unless a reset or the second side's FIN comes before its last packet, a connection is opened elsewhere than
-    by its first packet (repeated alike perhaps), or the active time may end before its last packet.
+    by its first packet (repeated alike perhaps), the active time may end before its last packet, or packets of it are tied.
     """
     way, us, seq = F.col("forward"), F.col(time), F.col("sequence")
     flags, tcp = F.coalesce("tcp_flags", F.lit(0)), F.col("proto") == "tcp"
@@ -244,6 +252,7 @@ def run_sums(rows: DataFrame, timeouts: Timeouts, time: str = "us") -> DataFrame
         F.coalesce(F.bit_or(F.when(~way, flags)), F.lit(0)).alias("flags_ba"),
         F.max(seq).alias("_last"),
         F.max("wm").alias("_wm"),
+        F.max("tied").alias("_tied"),
         F.max("wm_end").alias("_end"),
         F.min(F.when(bit(RST), seq)).alias("_reset"),
         F.min(F.when(bit(FIN) & way, seq)).alias("_fin_ab"),
@@ -255,7 +264,7 @@ def run_sums(rows: DataFrame, timeouts: Timeouts, time: str = "us") -> DataFrame
     fin = F.when(F.col("_fin_ab").isNotNull() & F.col("_fin_ba").isNotNull(), F.greatest("_fin_ab", "_fin_ba"))
     ends_last = lambda at: at.isNull() | (at == F.col("_last"))
     opens_first = F.col("_first_open").isNull() | (F.col("_first_open") == F.col("first_sequence")) & (F.col("_open_lo") == F.col("_open_hi"))
-    plain = ends_last(F.col("_reset")) & ends_last(fin) & opens_first & (F.col("start_us") + timeouts.active > F.col("_wm"))
+    plain = ends_last(F.col("_reset")) & ends_last(fin) & opens_first & (F.col("start_us") + timeouts.active > F.col("_wm")) & ~F.col("_tied")
     idle = F.when(tcp, F.lit(timeouts.tcp_idle)).otherwise(F.lit(timeouts.udp_idle))
     at_idle, at_active = F.col("end_us") + idle, F.col("start_us") + timeouts.active
     reason = (
@@ -272,7 +281,7 @@ _NEEDED = ("sequence", "wm", "wm_end", "forward", "original_len", "tcp_flags", "
 def _runs(packets: DataFrame, timeouts: Timeouts, time: str) -> tuple[DataFrame, DataFrame]:
     """Packets of flows with their runs, and the runs' sums."""
     rows, n = foldable(packets, time)
-    rows = with_runs(rows, timeouts, time, HOT if n > HOT else None).select("source", *KEY, "run", F.col(time).alias("us"), *_NEEDED)
+    rows = with_runs(rows, timeouts, time, HOT if n > HOT else None).select("source", *KEY, "run", "tied", F.col(time).alias("us"), *_NEEDED)
     return rows, written(run_sums(rows, timeouts), "flow-runs")
 
 
@@ -280,7 +289,7 @@ def _ordered(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Packets of the runs that are not plain, each run's together and in capture order."""
     rows = rows.join(runs.where("not plain").select("source", *KEY, "run"), ["source", *KEY, "run"], "left_semi").withColumn("conversation_id", conversation_id())
     rows = rows.select("source", *KEY, "conversation_id", "run", "us", *_NEEDED)
-    return rows.repartition("conversation_id", "run").sortWithinPartitions("conversation_id", "run", "sequence")
+    return rows.repartition("conversation_id", "run").sortWithinPartitions("conversation_id", "run", "sequence", "us", *_TIES)
 
 
 def _folded(batches: Iterator[pd.DataFrame], timeouts: Timeouts) -> Iterator[tuple[pd.DataFrame, list, list]]:
