@@ -301,6 +301,25 @@ def test_templates_and_sequences(spark, version):
     assert ingest.export_rows(netflow.decode_datagrams(df), "s").where("event_type = 'flow.export'").first()["proto"] == "tcp"
 
 
+def test_many_sessions_share_a_task(spark, monkeypatch):
+    """Sessions that go on from batch to batch, many in a task: none costs a call of its own, none sees the templates of another."""
+    monkeypatch.setattr(netflow, "ROWS", 3)
+    sent = [(f"e:{e}", k, bytearray(export(9, k, DATA) if k or e % 2 else export(9, k, template(9), DATA))) for k in range(5) for e in range(40)]
+    df = spark.createDataFrame(sent, "exporter string, arrival long, data binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = netflow.decode_datagrams(df)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = lambda kind: sorted((r["exporter"], r["arrival"]) for r in rows if r["kind"] == kind)
+    assert by("flow.export") == sorted((f"e:{e}", k) for e in range(0, 40, 2) for k in range(5))
+    assert by("notice.export") == sorted((f"e:{e}", k) for e in range(1, 40, 2) for k in range(5))
+    flow, notice = (next(r for r in rows if r["kind"] == kind) for kind in ("flow.export", "notice.export"))
+    assert [f["id"] for f in flow["fields"]] and all(len(f["value"]) for f in flow["fields"]) and notice["fields"] is None
+
+
 def test_version_five_and_restart(spark):
     record = bytes((192, 0, 2, 1, 198, 51, 100, 2)) + bytes(4) + struct.pack(">HHIIII", 0, 0, 10, 1000, 500, 900) + struct.pack(">HHBBBB", 1234, 443, 0, 24, 6, 0) + bytes(8)
     v5 = struct.pack(">HHIIIIBBH", 5, 1, 1000, 1_700_000_000, 0, 42, 0, 0, 100) + record

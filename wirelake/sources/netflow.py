@@ -2,18 +2,20 @@
 
 A datagram table has exporter (address and port as text), arrival (orders a session's datagrams) and data. Version 5 needs
 no state and is decoded row by row. The others carry templates, so a session (exporter, domain, version) is
-folded in order of arrival. Sessions are small against the whole; one that is not streams through its task batch by
-batch and holds only its templates.
+folded in order of arrival. A task gets many sessions one after another, each sorted, and holds the templates of one only;
+a session that is large streams through it batch by batch.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import socket
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,12 @@ class Template:
     options: bool
     seen: int
 
+    def __post_init__(self) -> None:
+        """Where the fields of a record lie, if their lengths are fixed."""
+        ends = list(accumulate(f.length for f in self.fields))
+        fixed = all(f.length != 65535 for f in self.fields)
+        self.spans = [(f.enterprise, f.id, end - f.length, end, f.scope) for f, end in zip(self.fields, ends, strict=True)] if fixed else None
+
 
 @dataclass
 class Session:
@@ -143,7 +151,7 @@ def normalize(fields: list[tuple[int, int, bytes, bool]], seconds: int, uptime:
             continue
         number = int.from_bytes(value, "big") if 1 <= len(value) <= 8 else None
         if id_ in ADDRESSES and len(value) == ADDRESSES[id_][1]:
-            out[ADDRESSES[id_][0]] = str(ipaddress.ip_address(value))
+            out[ADDRESSES[id_][0]] = socket.inet_ntoa(value) if len(value) == 4 else str(ipaddress.ip_address(value))
         elif id_ in NUMBERS:
             name, limit = NUMBERS[id_]
             out[name] = number if number is not None and number < min(limit, 1 << 63) else None
@@ -182,6 +190,15 @@ def read_templates(session: Session, version: int, data: bytes, options: bool, n
 
 
 def read_data(template: Template, data: bytes, room: int) -> Iterator[list[tuple[int, int, bytes, bool]]]:
+    if template.spans is not None:
+        size = template.spans[-1][3]
+        whole = len(data) - len(data) % size
+        for at in range(0, whole, size):
+            if room <= 0:
+                raise bad(f"a datagram has at most {MAX_RECORDS} records")
+            room -= 1
+            yield [(enterprise, id_, data[at + start : at + end], scope) for enterprise, id_, start, end, scope in template.spans]
+        return Bytes(data[whole:]).padding(3)
     c = Bytes(data)
     least = sum(1 if f.length == 65535 else f.length for f in template.fields)
     while c.left >= least:
@@ -257,17 +274,32 @@ def rows_of(session: Session, exporter: str, arrival: int, data: bytes) -> list[
     except DecodeError as e:
         return [{"exporter": exporter, "arrival": arrival, "kind": "anomaly.export", "code": e.code, "message": str(e)}]
     base = {"exporter": exporter, "arrival": arrival, "version": version, "domain": domain, "sequence": sequence, "export_time": seconds}
-    shown = lambda fields: [dict(zip(("enterprise", "id", "value", "scope"), f, strict=True)) for f in fields]
     out = [base | {"kind": "notice.export", "code": c, "message": m} for c, m in got.notices]
-    out += [base | {"kind": "flow.export"} | f | {"fields": shown(f["fields"])} for f in got.flows]
-    return out + [base | {"kind": "export.options", "fields": shown(f)} for f in got.options]
-
-
-COLUMNS = ["exporter", "arrival", "version", "domain", "sequence", "export_time", "kind", *FLOW_FIELDS, "fields", "code", "message"]
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([[r.get(c) for c in COLUMNS] for r in rows], columns=COLUMNS, dtype=object)
+    out += [base | {"kind": "flow.export"} | f for f in got.flows]
+    return out + [base | {"kind": "export.options", "fields": f} for f in got.options]
+
+
+_FIELDS = pa.struct([("enterprise", pa.int64()), ("id", pa.int32()), ("value", pa.binary()), ("scope", pa.bool_())])
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), f"array<{_FIELD}>": pa.list_(_FIELDS)}
+COLUMNS = {name: _ARROW[kind] for name, kind in (x.split(" ", 1) for x in RECORDS.split(", "))}
+#: Records that a task holds before it gives them away.
+ROWS = 10_000
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    arrays = []
+    for name, kind in COLUMNS.items():
+        values = [r.get(name) for r in rows]
+        if name == "fields":
+            flat = [f for v in values if v for f in v]
+            parts = zip(*flat, strict=True) if flat else ([], [], [], [])
+            inner = pa.StructArray.from_arrays([pa.array(list(p), f.type) for p, f in zip(parts, _FIELDS, strict=True)], fields=list(_FIELDS))
+            ends = accumulate(map(len, (v or () for v in values)), initial=0)
+            starts = pa.array([None if at < len(values) and values[at] is None else n for at, n in enumerate(ends)], pa.int32())
+            arrays.append(pa.ListArray.from_arrays(starts, inner, type=kind))
+        else:
+            arrays.append(pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=list(COLUMNS))
 
 
 def decode_datagrams(datagrams: DataFrame) -> DataFrame:
@@ -275,25 +307,36 @@ def decode_datagrams(datagrams: DataFrame) -> DataFrame:
     byte = lambda k, n: F.conv(F.hex(F.substring("data", k, n)), 16, 10).cast("long")
     version = F.when(F.octet_length("data") >= 2, byte(1, 2))
     domain = F.when((version == 5) & (F.octet_length("data") >= 24), byte(21, 2)).when((version == 9) & (F.octet_length("data") >= 20), byte(17, 4)).when((version == 10) & (F.octet_length("data") >= 16), byte(13, 4))
-    keyed = datagrams.select("exporter", "arrival", "data", version.alias("_version"), domain.alias("_domain"))
+    order = ["exporter", "_domain", "_version", "arrival", "_row"]  # those that arrive at once stay in the order of the input
+    keyed = datagrams.select("exporter", F.col("arrival").cast("bigint").alias("arrival"), "data", version.alias("_version"), domain.alias("_domain"), F.monotonically_increasing_id().alias("_row"))
+    placed = keyed.repartition(*order[:3]).sortWithinPartitions(*order).select("exporter", "_domain", "_version", "arrival", "data")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        session, rows = Session(), []
-        for exporter, arrival, data in pdf.sort_values("arrival", kind="stable")[["exporter", "arrival", "data"]].itertuples(index=False):
-            rows += rows_of(session, exporter, int(arrival), bytes(data))
-        return _frame(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, session, rows = None, Session(), []
+        for batch in batches:
+            for *key, arrival, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != now:
+                    now, session = key, Session()
+                rows += rows_of(session, key[0], arrival, data)
+                if len(rows) >= ROWS:
+                    yield _batch(rows)
+                    rows = []
+        yield _batch(rows)
 
-    return keyed.groupBy("exporter", "_domain", "_version").applyInPandas(run, RECORDS)
+    return placed.mapInArrow(run, RECORDS)
 
 
 def decode_v5_datagrams(datagrams: DataFrame) -> DataFrame:
     """The same for version 5 alone, which needs no session: no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _frame([r for e, a, d in pdf[["exporter", "arrival", "data"]].itertuples(index=False) for r in rows_of(Session(), e, int(a), bytes(d))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for exporter, arrival, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += rows_of(Session(), exporter, arrival, data)
+            yield _batch(rows)
 
-    return datagrams.select("exporter", "arrival", "data").mapInPandas(run, RECORDS)
+    return datagrams.select("exporter", F.col("arrival").cast("bigint").alias("arrival"), "data").mapInArrow(run, RECORDS)
 
 
 def sequence_gaps(datagrams: DataFrame, session: list[str]) -> DataFrame:
