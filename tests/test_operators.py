@@ -279,3 +279,23 @@ def test_flow_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(180)
     want = flows.sessionize(df).where("end_reason = 'tcp_reset'")
     assert sorted((r["first_sequence"], r["packets_ab"]) for r in spark.table("ended").where("end_reason = 'tcp_reset'").collect()) == sorted((r["first_sequence"], r["packets_ab"]) for r in want.collect())
+
+
+@pytest.mark.parametrize("block", [40, 250_000])
+@pytest.mark.parametrize("per_second", [1, 3])
+def test_full_seconds_take_few_rounds(spark, monkeypatch, block, per_second):
+    """Hundreds of seconds that are full one after another, so that what passes in one depends on all before: a round settles a block at least."""
+    tables = []
+    monkeypatch.setattr(enrich, "BLOCK", block, raising=False)
+    monkeypatch.setattr(enrich, "written", lambda df, tag, own=enrich.written: tables.append(tag) or own(df, tag))
+    rng = Random(11)
+    rows = [(k, rng.choice(["a", "b", "c", "d", "e", None]), rng.choice([-1, 1]) * rng.randrange(120_000) if k else None) for k in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, topic string, timestamp_ms long")
+    got = enrich.notice_gate(df, ["topic"], quiet_ms=2500, per_second=per_second).collect()
+    used, last, want = {}, {}, {0: False}
+    for k, topic, at in sorted(rows[1:], key=lambda r: (r[2], r[0])):
+        want[k] = used.get(at // 1000, 0) < per_second and (topic not in last or at - last[topic] >= 2500)
+        if want[k]:
+            used[at // 1000], last[topic] = used.get(at // 1000, 0) + 1, at
+    assert {r["event_id"]: r["passed"] for r in got} == want and len(got) == len(rows)
+    assert len(tables) <= (5 if block > len(rows) else 50)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,22 +121,95 @@ def notice_gate(notices: DataFrame, keys: list[str], time: str = "timestamp_ms",
     """``notices`` with passed: false if the same key passed within the quiet time before, or the second is full.
 
     By event time. Only what passes begins a quiet time. A key's notices are cut into pieces where the gap to the one before is the quiet
-    time or more, and each piece is walked in order by itself, a row at a time. A second that is full refuses notices, which then
-    begin no quiet time: with these known the pieces are walked again, until the same are refused as before. Seconds depend on earlier
-    ones only, so that each round settles the first of those that are not settled, and mostly all.
+    time or more, and each piece is walked in order by itself, a row at a time. If that fills no second, this is the result. A second
+    that is full refuses notices, which then begin no quiet time, so that keys depend on each other: then blocks of seconds are walked
+    (``_gated``).
     """
     rows = written(_with_pieces(notices, keys, time, quiet_ms), "notices")
-    refused: DataFrame | None = None
-    before = None
-    while True:
-        walked = _walked(rows, keys, time, order, quiet_ms, refused)
-        second = W.partitionBy("_new", F.floor(F.col(time) / 1000), F.when(F.col("_new"), F.lit("")).otherwise(F.col("_row").cast("string"))).orderBy(time, *order, "_row")
-        marked = written(walked.withColumn("passed", F.col("_new") & (F.row_number().over(second) <= per_second)), "notices-walked")
-        full = marked.where("_new and not passed").select("_row")
-        now = full.agg(F.count("*").alias("n"), F.sum(F.xxhash64("_row").cast("decimal(38,0)")).alias("h")).first()
-        if not now["n"] or now == before:
-            return marked.select(*notices.columns, "passed")
-        refused, before = full, now
+    marked = written(_walked(rows, keys, time, order, quiet_ms), "notices-walked")
+    full = marked.where("_new").groupBy(F.floor(F.col(time) / 1000)).count().where(F.col("count") > per_second)
+    if full.isEmpty():
+        return marked.select(*notices.columns, F.col("_new").alias("passed"))
+    passed = _gated(rows, keys, time, order, quiet_ms, per_second).withColumn("passed", F.lit(True))
+    return rows.join(passed, "_row", "left").select(*notices.columns, F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+#: Candidates of a block of seconds, about.
+BLOCK = 250_000
+
+
+def _gated(rows: DataFrame, keys: list[str], time: str, order: list[str], quiet_ms: int, per_second: int) -> DataFrame:
+    """The _row of what passes, where seconds are full.
+
+    Whole seconds make blocks, which are all walked at once, each as if no key were quiet when it begins. A block whose
+    keys were quiet, as the end of the block before says, is walked again from there, until all fit together: each round settles
+    one block or more. Of notices of one key and time only the first can pass.
+    """
+    known = [f"_k{i}" for i in range(len(keys))]
+    named = rows.where(F.col(time).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, known, strict=True)], F.col(time).alias("_time"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "_row").alias("_at"))
+    if quiet_ms > 0:
+        named = named.groupBy(*known, "_time").agg(F.min("_at").alias("_at"))
+    found = written(named.withColumn("_second", F.floor(F.col("_time") / 1000)), "notices-first")
+    n = max(1, -(-found.count() // BLOCK))
+    blocks = written(found.repartitionByRange(n, "_second").withColumn("_block", F.spark_partition_id()), "notices-blocks")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    ids = sorted(r["_block"] for r in blocks.select("_block").distinct().collect())
+    nothing = F.lit(None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = second = top = None
+        used, last = 0, {}
+
+        def ended() -> list[tuple]:
+            return [(block, None, *k, at) for k, at in last.items() if top is None or at + quiet_ms > top]
+
+        def shown(out: list[tuple]) -> pa.RecordBatch:
+            names = ["_block", "_row", *known, "_time"]
+            like = {f.name: f.type for f in batch.schema}
+            return pa.RecordBatch.from_arrays([pa.array(c, like[x]) for x, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
+
+        for batch in batches:
+            out = []
+            columns = {c: batch.column(c).to_pylist() for c in ("_block", "_row", "_second", "_time")}
+            for b, row, s, at, *key in zip(*columns.values(), *[batch.column(c).to_pylist() for c in known], strict=True):
+                if b != block:
+                    out += ended()
+                    block, second, top, last = b, None, None, {}
+                key = tuple(key)
+                if row is None:  # quiet since a block before
+                    last[key] = at
+                    continue
+                top = at
+                if s != second:
+                    second, used = s, 0
+                if used < per_second and (key not in last or at - last[key] >= quiet_ms):
+                    used += 1
+                    last[key] = at
+                    out.append((b, row, *[None] * len(known), None))
+            if out:
+                yield shown(out)
+        if out := ended():
+            yield shown(out)
+
+    schema = ", ".join(["_block int", "_row long", *[f"{k} {kinds[k]}" for k in known], f"_time {kinds['_time']}"])
+    told: dict[int, tuple] = dict.fromkeys(ids, (0, None))  # what a block was told of the one before
+    ends, source, again, rounds = {}, {}, ids, []
+    while again:
+        part = blocks.where(F.col("_block").isin(again)).select("_block", "_at._row", "_second", "_time", *known, "_at")
+        for r in {source[ids[ids.index(b) - 1]] for b in again if told[b][0]}:
+            follows = {ids[ids.index(b) - 1]: b for b in again if told[b][0] and source[ids[ids.index(b) - 1]] == r}
+            next_ = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])[F.col("_block")]
+            state = rounds[r].where(F.col("_row").isNull() & F.col("_block").isin(*follows))
+            part = part.unionByName(state.select(next_.alias("_block"), nothing.cast("bigint").alias("_row"), nothing.cast("bigint").alias("_second"), "_time", *known, nothing.cast(kinds["_at"]).alias("_at")))
+        placed = part.repartition(len(again), "_block").sortWithinPartitions("_block", F.col("_second").asc_nulls_first(), "_time", "_at").drop("_at")
+        rounds.append(written(placed.mapInArrow(run, schema), "notices-gated"))
+        source |= dict.fromkeys(again, len(rounds) - 1)
+        sums = rounds[-1].where("_row is null").groupBy("_block").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*known, "_time").cast("decimal(38,0)")).alias("h")).collect()
+        ends |= dict.fromkeys(again, (0, None)) | {r["_block"]: (r["n"], r["h"]) for r in sums}
+        again = [b for a, b in zip(ids, ids[1:], strict=False) if told[b] != ends[a]]
+        told |= {b: ends[ids[ids.index(b) - 1]] for b in again}
+    out = [df.where(F.col("_row").isNotNull() & F.col("_block").isin([b for b in ids if source[b] == r])).select("_row") for r, df in enumerate(rounds)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _with_pieces(notices: DataFrame, keys: list[str], time: str, quiet_ms: int) -> DataFrame:
@@ -155,28 +230,27 @@ def _with_pieces(notices: DataFrame, keys: list[str], time: str, quiet_ms: int)
     return rows.join(there, on).select(*notices.columns, "_row", "_piece")
 
 
-def _walked(rows: DataFrame, keys: list[str], time: str, order: list[str], quiet_ms: int, refused: DataFrame | None) -> DataFrame:
-    """``rows`` with _new: whether their key is not quiet; the ``refused`` (_row) begin no quiet time."""
-    known = rows.withColumn("_refused", F.lit(False)) if refused is None else rows.join(refused.withColumn("_refused", F.lit(True)), "_row", "left").withColumn("_refused", F.coalesce("_refused", F.lit(False)))
+def _walked(rows: DataFrame, keys: list[str], time: str, order: list[str], quiet_ms: int) -> DataFrame:
+    """``rows`` with _new: whether their key is not quiet."""
     whole = [*keys, "_piece"]
-    placed = known.withColumn("_cell", F.xxhash64(*whole)).repartition("_cell").sortWithinPartitions("_cell", *whole, time, *order, "_row")
+    placed = rows.withColumn("_cell", F.xxhash64(*whole)).repartition("_cell").sortWithinPartitions("_cell", *whole, time, *order, "_row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell = last = None
         for pdf in batches:
             new = []
-            for key, at, no in zip(pdf[whole].itertuples(index=False), pdf[time], pdf["_refused"], strict=True):
+            for key, at in zip(pdf[whole].itertuples(index=False), pdf[time], strict=True):
                 key = tuple(None if k is None or k != k else k for k in key)
                 if key != cell:
                     cell, last = key, None
                 fits = at == at and at is not None and (last is None or at - last >= quiet_ms)
                 new.append(fits)
-                if fits and not no:
+                if fits:
                     last = at
-            yield pdf.drop(columns=["_refused", "_cell"]).assign(_new=new)
+            yield pdf.drop(columns=["_cell"]).assign(_new=new)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return placed.select(*rows.columns, "_refused", "_cell").mapInPandas(run, f"{kinds}, _new boolean")
+    return placed.select(*rows.columns, "_cell").mapInPandas(run, f"{kinds}, _new boolean")
 
 
 def suppressed(gated: DataFrame) -> DataFrame:
