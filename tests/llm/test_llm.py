@@ -680,3 +680,18 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_training_holds_little_beside_the_texts():
+    """What the driver holds while it learns: a few bytes for each distinct bucket of a text and n-gram of a word."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(6000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(60)]
+    tracemalloc.start()
+    model = quality.train(texts, [k % 2 for k in range(60)], epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6 and len(model.weight) == 1 << 16

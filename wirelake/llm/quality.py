@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import fold
+from wirelake.llm.common import fold, give_back
 
 GRAMS = (3, 4)
 #: Words remembered by a worker; the longest remembered; characters of a word from which n-grams are taken at a time.
@@ -115,7 +116,7 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 16, di
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(buckets), math.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, array] = {}
     docs = []
     for text in texts:
         words = (text or "").split()
@@ -123,22 +124,21 @@ def train(texts: list[str | None], labels: list[int], buckets: int = 1 << 16, di
         counts: Counter = Counter()
         for w, times in distinct.items():
             if w not in memo:
-                memo[w] = features(w, buckets)
+                memo[w] = array("I", features(w, buckets))
             for b in memo[w]:
                 counts[b] += times
-        part = np.fromiter(counts.values(), np.float64, len(counts))
-        ids = np.fromiter(counts.keys(), np.int64, len(counts))
-        if words:
-            shape = shape_features(words, len(distinct), buckets)
-            ids = np.concatenate([ids, shape])
-            part = np.concatenate([part * (1 - SHAPE) / part.sum(), np.full(len(shape), SHAPE / len(shape))])
-        docs.append((ids, part))
+        shape = shape_features(words, len(distinct), buckets) if words else []
+        docs.append((np.array([*counts, *shape], np.int32), np.fromiter(counts.values(), np.int32, len(counts))))
+    del memo
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
-            ids, part = docs[k]
+            ids, counted = docs[k]
+            part = counted.astype(np.float64)
+            if shapes := len(ids) - len(part):
+                part = np.concatenate([part * (1 - SHAPE) / part.sum(), np.full(shapes, SHAPE / shapes)])
             now = rate * (1 - done / steps)
             done += 1
             hidden = part @ vectors[ids]
@@ -192,7 +192,11 @@ def scorer(spark, model: Model):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held: int = 0, max_docs: int = 3000, seed: int = 0) -> Model:
     """The model learnt from the labelled rows outside the held-out fold."""
     texts, marks = labelled_sample(docs, labels, fold("doc_id", parts) != held, label, max_docs, seed)
-    return train(texts, marks, seed=seed)
+    try:
+        return train(texts, marks, seed=seed)
+    finally:
+        del texts
+        give_back()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, threshold: float = 0.3, max_docs: int = 3000, seed: int = 0) -> DataFrame:
