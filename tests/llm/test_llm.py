@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import types
+import zlib
 from random import Random
 
 import duckdb
@@ -341,6 +343,53 @@ def test_training_and_scores_by_brute_force():
     assert 0 < model.score("") < 1 and quality.train(["a", "b"], [1, 1]).score("c") == pytest.approx(0.999)
 
 
+def odd_words(n):
+    rng = Random(11)
+    letters = "ab<>z\x7f\x80\u07ff\u0800\u6f22\uffff\U00010000\U0010ffff\N{PILE OF POO}"
+    return [*dict.fromkeys("".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(n))]
+
+
+@pytest.mark.parametrize(("piece", "waiting", "memo"), [(None, None, None), (64, 40, 30), (7, 1, 0)])
+def test_sums_of_new_words_by_brute_force(monkeypatch, piece, waiting, memo):
+    for name, value in (("PIECE", piece), ("WAITING", waiting), ("MEMO", memo)):
+        if value is not None:
+            monkeypatch.setattr(quality, name, value)
+    weight = np.random.default_rng(3).normal(size=509)
+    words = odd_words(400)
+    want = {w: sum(weight[b] for b in quality.features(w, len(weight))) for w in words}
+    model = quality.Model(weight, 0.25)
+    assert model.sums(words) == pytest.approx(list(want.values()), abs=1e-9)
+
+    def score(text):
+        own = (text or "").split()
+        if not own:
+            return 1 / (1 + np.exp(-0.25))
+        mean = sum(want[w] for w in own) / sum(len(quality.feature_names(w)) for w in own)
+        shape = weight[quality.shape_features(own, len(set(own)), len(weight))].mean()
+        return 1 / (1 + np.exp(-0.25 - (1 - quality.SHAPE) * mean - quality.SHAPE * shape))
+
+    rng = Random(5)
+    texts = [None, "", " "] + [" ".join(rng.choices(words, k=rng.randrange(1, 90))) for _ in range(60)]
+    texts += texts[::-1]
+    got = model.scores(texts)
+    assert got == pytest.approx([score(t) for t in texts], abs=1e-9)
+    assert quality.Model(weight, 0.25).scores([]) == []
+    if piece is None:  # the same to the bit, whatever stands beside a text and whether its words are remembered
+        assert got == [quality.Model(weight, 0.25).score(t) for t in texts] and got == got[::-1]
+
+
+def test_new_words_are_hashed_together(monkeypatch):
+    """Python hashes once for a new word, not once for each of its n-grams, and once for each pseudo-word of a text."""
+    calls = []
+    monkeypatch.setattr(quality, "zlib", types.SimpleNamespace(crc32=lambda x: calls.append(x) or zlib.crc32(x)))
+    rng = Random(2)
+    words = [*dict.fromkeys("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(2000))]
+    model = quality.Model(np.random.default_rng(1).normal(size=1 << 10), 0.0)
+    for k in range(0, 2000, 100):
+        assert 0 < model.score(" ".join(words[k : k + 100])) < 1
+    assert len(calls) <= len(words) + 3 * 20
+
+
 # 5
 
 

@@ -5,8 +5,8 @@ hashed into one table, and, for a fixed share (``SHAPE``), of three pseudo-words
 words that repeat the word before and of the share of distinct words, which are counts beside the method's n-grams; a softmax layer over the average gives the probability of each label. Vectors and
 layer are trained together by seeded stochastic gradient descent in numpy on the driver, over a bounded
 sample of labelled rows (``max_docs``, a parameter, and of each text the first ``FIT_CHARS`` characters). As the layer is linear, a document's score is the
-average of its words' scores, so each worker remembers the scores of words it has met. Every text is
-scored whole.
+average of its words' scores, so each worker remembers the scores of words it has met; the n-grams of words that it has not met are
+hashed together, many words at a time. Every text is scored whole.
 
 Edge cases: null and empty texts get the score of no words (the bias); labels that are null or without a document are dropped, a
 label that is repeated counts once, and both labels of a document that has both count; if no row or one class only is labelled, every
@@ -24,6 +24,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, islice, repeat
 from operator import eq
 
 import numpy as np
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from wirelake.llm.common import fold, give_back
 
 GRAMS = (3, 4)
-#: Words remembered by a worker; the longest remembered; characters of a word from which n-grams are taken at a time.
-MEMO, MEMO_CHARS = 150_000, 48
+#: Words remembered by a worker; the longest remembered.
+MEMO, MEMO_CHARS = 400_000, 48
+#: Characters whose n-grams are hashed at a time; distinct words of texts that wait for the scores of their new words.
+PIECE, WAITING = 1 << 16, 1 << 16
 #: Characters of a text that are learnt from.
 FIT_CHARS = 200_000
 #: Share of the pseudo-words in a document's average.
@@ -50,42 +53,109 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[float, int]] = {}
-        self.known: dict[str, float] = {}
-        self.list: list[float] = self.weight.tolist()
-
-    def word(self, word: str) -> tuple[float, int]:
-        known, own, size = self.known, self.list, len(self.list)
-        if len(known) >= MEMO:
-            known.clear()
-        total, names = 0.0, feature_names(word)
-        for name in names:
-            value = known.get(name)
-            if value is None:
-                value = own[zlib.crc32(name.encode()) % size]
-                if len(name) <= MEMO_CHARS:
-                    known[name] = value
-            total += value
-        value = total, len(names)
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = value
-        return value
+        self.memo: dict[str, float] = {}
+
+    def sums(self, words: list[str]) -> list[float]:
+        """The sum of the weights of each word's features: the word's own, then its n-grams from left to right, by length."""
+        out: list[float] = []
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = sizes.cumsum()
+        while len(out) < len(words):
+            start = len(out)
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + PIECE, "right")))  # a longer word goes alone
+            part, each = words[start:end], np.arange(end - start)
+            marked, owner = f"<{'><'.join(part)}>", np.repeat(each, sizes[start:end])
+            total = self.weight[np.array([zlib.crc32(f"<{w}>>".encode()) for w in part]) % len(self.weight)]
+            for at in range(0, len(marked), PIECE):
+                for n, hashes in gram_hashes(marked[at : at + PIECE + max(GRAMS) - 1], PIECE):
+                    first = owner[at : at + len(hashes)]
+                    inside = first == owner[at + n - 1 : at + n - 1 + len(hashes)]
+                    values = self.weight[hashes[inside] % len(self.weight)]
+                    # bincount adds one after the other, so a word's sum does not depend on the words beside it
+                    total = np.bincount(np.concatenate([each, first[inside]]), np.concatenate([total, values]))
+            out += total.tolist()
+        return out
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        """Scores of the texts, in their order."""
+        out: list[float] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, int, float]] = []
+        absent: list[str] = []
+        held = 0
+        for text in texts:
+            words = (text or "").split()
+            counts = Counter(words)
+            values = np.fromiter(map(self.memo.get, counts, repeat(math.nan)), np.float64, len(counts))
+            times = np.fromiter(counts.values(), np.float64, len(counts))
+            absent += compress(counts, np.isnan(values).tolist())
+            shape = float(self.weight[shape_features(words, len(counts), len(self.weight))].mean()) if words else 0.0
+            waiting.append((values, times, 2 * sum(map(len, words)), shape))  # a word has two features a character
+            held += len(counts)
+            if held >= WAITING:
+                out += self._scored(waiting, absent)
+                waiting, absent, held = [], [], 0
+        return out + self._scored(waiting, absent) if waiting else out
+
+    def _scored(self, waiting: list[tuple[np.ndarray, np.ndarray, int, float]], absent: list[str]) -> list[float]:
+        """Scores of texts: values (NaN for words of ``absent``, in order) and times of the distinct words, number of features, mean of the shape's."""
+        new = list(dict.fromkeys(absent))
+        known = dict(zip(new, self.sums(new), strict=True))
+        sizes = [len(values) for values, _, _, _ in waiting]
+        values = np.concatenate([w[0] for w in waiting])
+        values[np.isnan(values)] = np.fromiter(map(known.__getitem__, absent), np.float64, len(absent))
+        # as above, a text's total does not depend on the texts beside it
+        totals = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * np.concatenate([w[1] for w in waiting]), len(sizes)).tolist()
+        out = []
+        for total, (_, _, n, shape) in zip(totals, waiting, strict=True):
+            z = self.bias + ((1 - SHAPE) * total / n + SHAPE * shape if n else 0.0)
+            out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
+        self.memo.update((w, value) for w, value in known.items() if len(w) <= MEMO_CHARS)
+        if len(self.memo) > MEMO:
+            self.memo = dict(islice(self.memo.items(), MEMO // 2))  # words met first are mostly the frequent ones
+        return out
 
     def score(self, text: str | None) -> float:
-        words = (text or "").split()
-        total, n, get = 0.0, 0, self.memo.get
-        counts = Counter(words)
-        for w, times in counts.items():
-            s, k = get(w) or self.word(w)
-            total += s * times
-            n += k * times
-        z = self.bias
-        if n:
-            shape = self.weight[shape_features(words, len(counts), len(self.weight))]
-            z += (1 - SHAPE) * total / n + SHAPE * float(shape.mean())
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        return self.scores([text])[0]
+
+
+def crc_table() -> np.ndarray:
+    """What crc32 does with each byte."""
+    out = np.arange(256, dtype=np.int64)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ 0xEDB88320, out >> 1)
+    return out
+
+
+CRC, ONES = crc_table(), 0xFFFFFFFF
+
+
+def after_byte(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return CRC[(state ^ byte) & 255] ^ state >> 8
+
+
+def after_character(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """States of crc32 after the UTF-8 bytes of one more character each."""
+    out = after_byte(state, codes)
+    wide = np.flatnonzero(codes > 0x7F)
+    if len(wide):
+        c = codes[wide]
+        lead = np.where(c > 0xFFFF, 0xF0 | c >> 18, np.where(c > 0x7FF, 0xE0 | c >> 12, 0xC0 | c >> 6))
+        own = after_byte(state[wide], lead)
+        for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)):
+            own = np.where(c >= least, after_byte(own, 0x80 | c >> shift & 0x3F), own)
+        out[wide] = own
+    return out
+
+
+def gram_hashes(text: str, starts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length of ``GRAMS``, with crc32 of the n-grams that begin at the first ``starts`` characters, as far as they fit."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    state = np.full(min(starts, len(codes)), ONES)
+    for n in range(1, max(GRAMS) + 1):
+        here = max(0, min(starts, len(codes) - n + 1))
+        state = after_character(state[:here], codes[n - 1 : n - 1 + here])
+        if n in GRAMS:
+            yield n, state ^ ONES
 
 
 def feature_names(word: str) -> list[str]:
@@ -184,7 +254,7 @@ def scorer(spark, model: Model):
             _MODELS[key] = Model(*shared.value)
         own = _MODELS[key]
         for batch in texts:
-            yield pd.Series([own.score(x) for x in batch], dtype="float64")
+            yield pd.Series(own.scores(batch), dtype="float64")
 
     return score
 
